@@ -6,7 +6,7 @@ from tiltscale.fixed_values import INTERNAL_ERROR, NO_CONTENT, TIMED_OUT
 from tiltscale.functions.html_blocks import select_blocks
 from tiltscale.functions.source import block_class, block_element, identify_source
 from tiltscale.functions.text import article_text, is_blank
-from tiltscale.operators.lookup import broadcast_bytes, broadcast_if, lookup, profile_keys, spread_small_input
+from tiltscale.operators.lookup import broadcast_bytes, lookup, profile_keys, spread_small_input
 
 
 def _good_url(requests):
@@ -18,18 +18,20 @@ def latest_captures(wanted, pages, profile):
     """Rows of ``pages`` for the wanted URLs, the last capture of each.
 
     Which capture counts is settled on identifiers alone.  Only the page rows
-    that are asked for carry their HTML on, in place when the URLs are few
+    that are asked for carry their HTML on: in place when the URLs are few
     enough to broadcast, else through one shuffle keyed on URL and page, which
-    spreads a URL captured very often.
+    spreads a URL captured very often.  That shuffle is joined by hashing the
+    identifiers, so the HTML is not sorted.
     """
     size = profile.key_bytes + 8 * profile.keys
-    captures = pages.select("url", "page_id")
+    found = pages.select("url", "page_id")
     if size <= broadcast_bytes(pages.sparkSession):
-        captures = captures.join(F.broadcast(wanted.select("url")), "url", "left_semi")
+        last = found.join(F.broadcast(wanted), "url").groupBy(*wanted.columns).agg(F.max("page_id").alias("page_id"))
+        return spread_small_input(pages).join(F.broadcast(last), ["url", "page_id"])
     # Grouped before it meets the wanted URLs, so that neither side of that join
     # has a URL twice; both are then partitioned by URL already.
-    last = captures.groupBy("url").agg(F.max("page_id").alias("page_id")).join(wanted, "url")
-    return spread_small_input(pages).join(broadcast_if(last, size), ["url", "page_id"])
+    last = found.groupBy("url").agg(F.max("page_id").alias("page_id")).join(wanted, "url")
+    return pages.join(last.hint("shuffle_hash"), ["url", "page_id"])
 
 
 def _fetch_outcome(pages):

@@ -118,9 +118,10 @@ def spread_small_input(df):
     """Give a batch input of few files one partition per core.
 
     Parsing is bound by CPU, and a small table is often one file, so one task.
-    A table with enough splits is returned as it is, never shuffled.
+    A table with splits for a quarter of the cores is returned as it is: shuffling
+    its HTML would cost more than the waiting cores.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df

@@ -22,11 +22,12 @@ def to_result_messages(results):
 
 def _decoded(messages, schema):
     text = F.col("value").cast("string")
-    return messages.withColumns({
-        "value": text,
-        "__data": F.from_json(text, schema),
-        "__keys": F.from_json(text, "map<string,string>"),
-    })
+    return messages.withColumns({"value": text, "__data": F.from_json(text, schema)})
+
+
+def _keys():
+    """Key names of the message; null where it is no JSON object."""
+    return F.map_keys(F.from_json("value", "map<string,string>"))
 
 
 def decode_articles(messages, *keep):
@@ -41,28 +42,36 @@ def article_rejects(messages, *keep):
     content, model = F.col("__data.content"), F.col("__data.model")
     empty = content.isNull() | (content == "") | model.isNull() | (model == "")
     reason = (
-        F.when(F.col("__keys").isNull(), "malformed")
-        .when(empty, "nothing to rate")
-        .when(~is_known_model(model), "unknown model")
+        F.when(~empty & is_known_model(model), None)
+        .when(~empty, "unknown model")
+        .when(_keys().isNull(), "malformed")
+        .otherwise("nothing to rate")
     )
     return decoded.select(*keep, "value", reason.alias("reason")).where("reason is not null")
 
 
-def _all_keys(keys, schema):
-    test = F.lit(True)
-    for name in schema.fieldNames():
-        test = test & F.map_contains_key(keys, name)
-    return F.coalesce(test, F.lit(False))
+def _has_all_keys(schema):
+    """Whether every field's key is there.
+
+    The message is only parsed a second time where a field came out null, to tell
+    a null value from a missing key.
+    """
+    names = schema.fieldNames()
+    filled = F.lit(True)
+    for name in names:
+        filled = filled & F.col(f"__data.{name}").isNotNull()
+    present = F.size(F.array_intersect(_keys(), F.array(*map(F.lit, names)))) == len(names)
+    return F.when(filled, True).otherwise(F.coalesce(present, F.lit(False)))
 
 
 def decode_results(messages, *keep):
     """``[value]`` → ``[url, model, result, score]`` of messages with all four keys."""
     decoded = _decoded(messages, RESULT)
-    return decoded.where(_all_keys(F.col("__keys"), RESULT)).select(*keep, "__data.*")
+    return decoded.where(_has_all_keys(RESULT)).select(*keep, "__data.*")
 
 
 def result_rejects(messages, *keep):
     """Result messages that lack a key or are no object: ``[value, reason]``."""
     decoded = _decoded(messages, RESULT)
-    reason = F.when(F.col("__keys").isNull(), "malformed").otherwise("missing key")
-    return decoded.where(~_all_keys(F.col("__keys"), RESULT)).select(*keep, "value", reason.alias("reason"))
+    reason = F.when(_keys().isNull(), "malformed").otherwise("missing key")
+    return decoded.where(~_has_all_keys(RESULT)).select(*keep, "value", reason.alias("reason"))

@@ -36,22 +36,28 @@ def rateable(articles):
 
 # --- backends -----------------------------------------------------------------
 
-def recorded(responses):
+def recorded(responses, unique=False):
     """Answers captured earlier, ``[url, model, result]``.
 
     Should a key be recorded more than once, the smallest text is the answer, so
-    that articles never multiply.
+    that articles never multiply.  ``unique`` says that the keys were checked
+    (``primary_key_violations``) and saves that step, once per micro-batch in a
+    stream.
     """
-    answers = responses.groupBy("url", "model").agg(F.min("result").alias("result"))
+    answers = responses.select("url", "model", "result")
+    if not unique:
+        answers = answers.groupBy("url", "model").agg(F.min("result").alias("result"))
 
     def backend(df, key_source):
         profile = None if df.isStreaming else profile_keys(key_source, ["url", "model"])
-        found = lookup(df, answers, ["url", "model"], profile=profile)
-        asked = F.col("prompt").isNotNull()
+        # The flag goes through the join in place of the prompt, where nobody
+        # asks for that.
+        marked = df.withColumn("__asked", F.col("prompt").isNotNull())
+        found = lookup(marked, answers, ["url", "model"], profile=profile)
         return found.withColumns({
-            "result": F.when(asked, F.col("result")),
-            "rating_error": F.when(asked & F.col("result").isNull(), "no recorded answer"),
-        })
+            "result": F.when(F.col("__asked"), F.col("result")),
+            "rating_error": F.when(F.col("__asked") & F.col("result").isNull(), "no recorded answer"),
+        }).drop("__asked")
 
     return backend
 

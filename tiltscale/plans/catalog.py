@@ -404,8 +404,11 @@ def intake_stream(spark, folder):
     base = _new_folder(spark)
     _requests(spark, folder).write.parquet(f"{base}/requests")
     source = spark.readStream.schema("request_id long, body string").parquet(f"{base}/requests")
+
+    def to_files(articles, number):
+        articles.write.mode("overwrite").text(f"{base}/articles/batch={number}")
+
     jobs.intake_job(
-        source, _web(spark, folder), f"{base}/checkpoint", base,
-        lambda articles: publish(articles, "text", f"{base}/articles"), trigger=jobs.DRAIN,
+        source, _web(spark, folder), f"{base}/checkpoint", base, to_files, trigger=jobs.DRAIN
     ).awaitTermination()
     return messages.decode_articles(read_messages_batch(spark, "text", f"{base}/articles"))

@@ -70,16 +70,17 @@ def intake_job(requests, pages, checkpoint, folder, publish, profile=ASYNC, trig
     """Scrape a stream of ``[request_id, body]`` and publish the accepted articles.
 
     Each micro-batch is written once, under its own number, to ``folder``; the
-    articles to ``publish`` (a function of their messages) and the
-    acknowledgements both come from that table.  Repeating a batch overwrites it.
-    Acknowledgements end up in ``folder/acknowledgements/batch=<number>``.
+    articles to publish and the acknowledgements both come from that table.
+    Acknowledgements end up in ``folder/acknowledgements/batch=<number>``.  A
+    repeated batch overwrites both; ``publish(messages, number)`` gets the number
+    so that it can do the same.
     """
 
     def scrape_batch(batch, batch_id):
         scraped_path = f"{folder}/scraped/batch={batch_id}"
         scrape(batch, pages, profile).write.mode("overwrite").parquet(scraped_path)
         scraped = batch.sparkSession.read.parquet(scraped_path)
-        publish(to_article_messages(accepted_articles(scraped)))
+        publish(to_article_messages(accepted_articles(scraped)), batch_id)
         acknowledgements(scraped, profile).write.mode("overwrite").parquet(
             f"{folder}/acknowledgements/batch={batch_id}"
         )
