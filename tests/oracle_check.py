@@ -60,6 +60,8 @@ if __name__ == "__main__":
         .config("spark.sql.shuffle.partitions", "8").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("NO_BROADCAST"):  # the plans that tables too big to broadcast get
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     connection = connect(folder)
     oracles = entry.oracle_sql()
     bad = 0

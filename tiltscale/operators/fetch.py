@@ -9,29 +9,37 @@ from tiltscale.functions.text import article_text, is_blank
 from tiltscale.operators.lookup import broadcast_bytes, lookup, profile_keys, spread_small_input
 
 
+# From this share of wanted pages on, parsing all of them in place costs less
+# than shuffling the HTML of the wanted ones.
+_MOST_PAGES = 0.25
+
+
 def _good_url(requests):
     """The URL of requests that are still good, null for the others."""
     return F.when(F.col("status").isNull(), F.col("url"))
 
 
-def latest_captures(wanted, pages, profile):
-    """Rows of ``pages`` for the wanted URLs, the last capture of each.
+def _captures(wanted, pages, profile, carried, early):
+    """``carried`` columns of the last capture of each wanted URL.
 
-    Which capture counts is settled on identifiers alone.  Only the page rows
-    that are asked for carry their HTML on: in place when the URLs are few
-    enough to broadcast, else through one shuffle keyed on URL and page, which
-    spreads a URL captured very often.  That shuffle is joined by hashing the
-    identifiers, so the HTML is not sorted.
+    Which capture counts is settled on identifiers alone; only pages asked for
+    carry more.  Few wanted URLs are broadcast and the pages stay in place.  Many
+    are met in one shuffle keyed on URL and page, which spreads a URL captured
+    very often, and joined by hashing the identifiers, so nothing heavy is sorted.
+    Where ``early`` is given and most pages are wanted, every page is reduced to
+    these columns in place, and HTML is not shuffled at all.
     """
     size = profile.key_bytes + 8 * profile.keys
     found = pages.select("url", "page_id")
     if size <= broadcast_bytes(pages.sparkSession):
         last = found.join(F.broadcast(wanted), "url").groupBy(*wanted.columns).agg(F.max("page_id").alias("page_id"))
-        return spread_small_input(pages).join(F.broadcast(last), ["url", "page_id"])
+        return spread_small_input(pages).join(F.broadcast(last), ["url", "page_id"]).select("url", *carried)
     # Grouped before it meets the wanted URLs, so that neither side of that join
     # has a URL twice; both are then partitioned by URL already.
-    last = found.groupBy("url").agg(F.max("page_id").alias("page_id")).join(wanted, "url")
-    return pages.join(last.hint("shuffle_hash"), ["url", "page_id"])
+    last = found.groupBy("url").agg(F.max("page_id").alias("page_id")).join(wanted, "url").hint("shuffle_hash")
+    if early is not None and profile.keys >= _MOST_PAGES * pages.count():
+        return pages.select("url", "page_id", *early).join(last, ["url", "page_id"]).drop("page_id", "needs_text")
+    return pages.join(last, ["url", "page_id"]).select("url", *carried)
 
 
 def _fetch_outcome(pages):
@@ -62,21 +70,23 @@ def _mark_fetch(requests, profile):
     })
 
 
-def _attach(requests, pages, columns, profile, extra=None):
+def _attach(requests, pages, profile, carried, early=None, needs_text=None):
     keyed = requests.withColumn("__url", _good_url(requests))
     keys = profile_keys(keyed, ["__url"])
-    good = keyed.where(F.col("__url").isNotNull()).groupBy(F.col("__url").alias("url"))
-    wanted = good.agg(extra.alias("needs_text")) if extra is not None else good.agg(F.lit(True).alias("needs_text"))
-    found = latest_captures(wanted, pages, keys).select(
-        F.col("url").alias("__url"), *columns, *_fetch_outcome(pages)
+    wanted = (
+        keyed.where(F.col("__url").isNotNull())
+        .groupBy(F.col("__url").alias("url"))
+        .agg((F.lit(True) if needs_text is None else F.bool_or(needs_text)).alias("needs_text"))
     )
-    joined = lookup(keyed, found, ["__url"], profile=keys)
+    outcome = _fetch_outcome(pages)
+    found = _captures(wanted, pages, keys, [carried, *outcome], None if early is None else [early, *outcome])
+    joined = lookup(keyed, found.withColumnRenamed("url", "__url"), ["__url"], profile=keys)
     return _mark_fetch(joined, profile).drop("__url", "fetched", "timed_out")
 
 
 def attach_pages(requests, pages, profile):
     """Requests with the HTML of their URL; misses become status 500."""
-    return _attach(requests, pages, ["html"], profile)
+    return _attach(requests, pages, profile, F.col("html"))
 
 
 def extract_blocks(pages, strict_www=False):
@@ -97,17 +107,21 @@ def attach_articles(requests, pages, profile, only_models=None):
     asked for only with models outside ``only_models`` are not parsed, as their
     requests fail whatever the text.
     """
-    needs = F.bool_or(F.col("model").isin(*only_models)) if only_models else None
+    needs_text = F.coalesce(F.col("model").isin(*only_models), F.lit(False)) if only_models else None
     source = identify_source(F.col("url"), profile.strict_www)
-    element = F.when(F.coalesce("needs_text", F.lit(False)), block_element(source))
-    blocks = select_blocks(F.col("html"), element, block_class(source))
-    text = article_text(blocks, profile.drop_empty_blocks).alias("content")
-    articles = _attach(requests, pages, [text], profile, needs).withColumn("source", source)
+
+    def content(element):
+        blocks = select_blocks(F.col("html"), element, block_class(source))
+        return article_text(blocks, profile.drop_empty_blocks).alias("content")
+
+    element = block_element(source)
+    carried = content(F.when(F.col("needs_text"), element))
+    articles = _attach(requests, pages, profile, carried, content(element), needs_text).withColumn("source", source)
 
     good = F.col("status").isNull()
     unreadable = good & F.col("content").isNull()
     if only_models:
-        unreadable = unreadable & F.coalesce(F.col("model").isin(*only_models), F.lit(False))
+        unreadable = unreadable & needs_text
     blank = good & is_blank(F.col("content")) & F.lit(profile.reject_blank)
     return articles.withColumns({
         "status": F.when(unreadable, 500).when(blank, 400).otherwise(F.col("status")).cast("int"),
