@@ -1,0 +1,113 @@
+"""Joins stay right, and spread, when one key holds a third of the rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tiltscale.operators import lookup as module
+from tiltscale.operators.lookup import broadcast_bytes, lookup, profile_keys, spread_small_input
+from tiltscale.operators.rating import rate, recorded
+from tiltscale.operators.tables import foreign_key_violations, orphans, primary_key_violations
+
+
+@pytest.fixture
+def hot(monkeypatch):
+    """Make small inputs count as skewed."""
+    monkeypatch.setattr(module, "HOT_MIN_ROWS", 50)
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """3,000 rows: a third of one key, a third without a key, a third of others."""
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id")))
+    return spark.range(0, 3000, 1, 16).select("id", key.alias("k"))
+
+
+@pytest.fixture(scope="module")
+def values(spark):
+    return spark.range(3000).select(
+        F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias("v")
+    )
+
+
+def test_profile(spark, skewed):
+    found = profile_keys(skewed, ["k"])
+    assert (found.rows, found.null_rows, found.keys, found.hottest) == (3000, 1000, 1001, 1000)
+    assert not found.skewed
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
+def test_salted_join_equals_plain_join(spark, skewed, values, hot, no_broadcast, how):
+    plain = skewed.join(values, "k", how)
+    salted = lookup(skewed, values, ["k"], how)
+    assert profile_keys(skewed, ["k"]).skewed
+    assert salted.columns == plain.columns
+    assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_copies_of_one_row_are_spread(spark, values, hot, no_broadcast):
+    copies = spark.range(0, 2000, 1, 16).select(F.lit("hot").alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = lookup(copies, values, ["k"])
+        assert joined.count() == 2000
+        assert joined.select(F.spark_partition_id()).distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_rows_without_key_are_spread(spark, values, hot, no_broadcast):
+    nothing = spark.range(0, 2000, 1, 16).select(F.lit(None).cast("string").alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = lookup(nothing, values, ["k"])
+        assert joined.where("v is null").count() == 2000
+        assert joined.select(F.spark_partition_id()).distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_hot_articles_are_all_rated_once(spark, hot, no_broadcast):
+    articles = spark.range(0, 900, 1, 16).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, "u").otherwise(F.concat(F.lit("u"), F.col("id"))).alias("url"),
+        F.lit("gpt").alias("model"),
+        F.lit("same text").alias("content"),
+    )
+    answers = articles.select("url", "model", F.concat(F.lit("r "), "url").alias("result"))  # keys repeated
+    rated = rate(articles, recorded(answers)).select("id", "url", "result", "rating_error").collect()
+    assert len(rated) == 900
+    assert all(row.result == f"r {row.url}" and row.rating_error is None for row in rated)
+
+
+def test_repeated_answers_never_multiply_articles(spark):
+    articles = spark.createDataFrame([("c", "gpt", "u"), ("c", "claude", "u")], "content string, model string, url string")
+    answers = spark.createDataFrame([("u", "gpt", "b"), ("u", "gpt", "a")], "url string, model string, result string")
+    rows = rate(articles, recorded(answers)).select("model", "result", "rating_error").collect()
+    assert sorted(map(tuple, rows)) == [("claude", None, "no recorded answer"), ("gpt", "a", None)]
+
+
+def test_key_checks(spark, hot, no_broadcast):
+    parent = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "k string")
+    assert sorted(primary_key_violations(parent, ["k"]).collect(), key=str) == [("a", 2), (None, 2)]
+    child = spark.range(0, 400, 1, 8).select(
+        "id", F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, "gone").when(F.col("id") == 2, "x").alias("k")
+    )
+    assert sorted(foreign_key_violations(child, "k", parent, "k").collect()) == [("gone", 100), ("x", 1)]
+    rows = orphans(child, "k", parent, "k").collect()
+    assert sorted(row.id for row in rows) == sorted([2, *range(1, 400, 4)])
+
+
+@pytest.mark.parametrize("value, wanted", [("10MB", 10 * 2**20), ("-1", -1), ("512k", 2**19), ("7", 7), ("1g", 2**30)])
+def test_broadcast_setting(spark, value, wanted):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, value)
+        assert broadcast_bytes(spark) == wanted
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_only_small_inputs_are_spread(spark):
+    assert spread_small_input(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 8
+    assert spread_small_input(spark.range(0, 10, 1, 3)).rdd.getNumPartitions() == 3

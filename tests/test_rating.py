@@ -1,0 +1,162 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tiltscale.fixed_values import PROMPTS
+from tiltscale.functions.prompts import build_prompt, model_options
+from tiltscale.operators.messages import (
+    article_rejects,
+    decode_articles,
+    decode_results,
+    result_rejects,
+    to_article_messages,
+    to_result_messages,
+)
+from tiltscale.operators.rating import called, rate, rate_articles, rateable, stub, with_fallback
+from tiltscale.operators.tables import conform, to_stored_results
+from tiltscale.schemas import NEWS, RATED
+
+M = "!$*_&"
+ARTICLE = "content string, model string, url string"
+
+
+@pytest.fixture
+def echo_client():
+    # Nested, so that it reaches the workers by value: they cannot import tests.
+    def make():
+        def ask(prompt, options):
+            if "boom" in prompt:
+                raise ValueError("no answer")
+            if "silent" in prompt:
+                raise ValueError()
+            return json.dumps(options, sort_keys=True) + f"{M}{len(prompt) % 3}{M}"
+
+        return ask
+
+    return make
+
+
+@pytest.mark.parametrize("template", list(PROMPTS))
+def test_prompt_keeps_any_content(spark, template):
+    content = "100% $1 \\1 {content} {0} \"\"\" é\n"
+    df = spark.createDataFrame([(content,), (None,)], "c string")
+    rows = [row[0] for row in df.select(build_prompt(F.col("c"), template)).collect()]
+    before, after = PROMPTS[template].split("{content}")
+    assert rows == [before + content + after, None]
+
+
+def test_options(spark):
+    df = spark.createDataFrame([("gpt", 0.5), ("claude", 0.5), ("gemini", 0.5), ("other", 0.5), (None, 0.5)], "m string, t double")
+    rows = df.select(
+        "m", F.to_json(model_options(F.col("m"), F.col("t"))), F.to_json(model_options(F.col("m"), F.col("t"), True))
+    ).collect()
+    found = {row[0]: (row[1] and json.loads(row[1]), row[2] and json.loads(row[2])) for row in rows}
+    assert found["gpt"][0] == {"provider_model": "gpt-4o", "top_p": 1.0, "n": 1, "temperature": 0.5}
+    assert found["gpt"][1] == {"provider_model": "gpt-4o", "temperature": 0.5}
+    assert found["claude"][0] == found["claude"][1]
+    assert found["claude"][0]["max_tokens"] == 1000
+    assert found["gemini"] == (
+        {"provider_model": "gemini-1.5-flash", "temperature": 0.5}, {"provider_model": "gemini-1.5-flash"}
+    )
+    assert found["other"] == found[None] == (None, None)
+
+
+def test_rateable(spark):
+    rows = [("c", "gpt", "1"), (" ", "gpt", "2"), ("", "gpt", "3"), (None, "gpt", "4"), ("c", "", "5"), ("c", None, "6")]
+    df = spark.createDataFrame(rows, ARTICLE)
+    assert sorted(row.url for row in rateable(df).collect()) == ["1", "2"]
+
+
+def test_a_failing_call_concerns_its_row_only(spark, echo_client):
+    rows = [("fine", "gpt", "1"), ("boom", "gpt", "2"), ("silent", "claude", "3"), ("fine", "other", "4")]
+    df = spark.createDataFrame(rows, ARTICLE).coalesce(1)
+    found = {
+        row.url: (row.result, row.rating_error)
+        for row in with_fallback(rate(df, called(echo_client, calls_in_flight=3))).collect()
+    }
+    assert found["1"][1] is None and found["1"][0].startswith("{")
+    assert found["2"] == ("Error processing article.", "no answer")
+    assert found["3"] == ("Error processing article.", "ValueError")
+    assert found["4"] == ("Error processing article.", "cannot unpack non-iterable NoneType object")
+
+
+def test_client_is_made_once_per_task(spark):
+    def counting_client():
+        made = [0]
+
+        def ask(prompt, options):
+            made[0] += 1
+            return str(made[0])
+
+        return ask
+
+    df = spark.range(0, 1000, 1, 4).select(
+        F.lit("c").alias("content"), F.lit("gpt").alias("model"), F.col("id").cast("string").alias("url")
+    )
+    counts = [int(row.result) for row in rate(df, called(counting_client)).collect()]
+    assert max(counts) == 250  # one client saw a whole partition, over several batches
+
+
+def test_rate_articles(spark, echo_client):
+    rows = [("fine", "gpt", "1"), ("boom", "gpt", "2"), ("", "gpt", "3"), ("c", "other", "4"), ("c", None, "5")]
+    df = spark.createDataFrame(rows, ARTICLE)
+    found = {row.url: row.score for row in rate_articles(df, called(echo_client)).collect()}
+    assert found.keys() == {"1", "2"} and found["2"] == -999.0 and found["1"] != -999.0
+    stubbed = rate_articles(df, stub(), any_model=True).collect()
+    assert {(r.url, r.result, r.score) for r in stubbed} == {(u, "dummy working", -999.0) for u in "124"}
+
+
+def test_article_messages_round_trip(spark):
+    rows = [('a "quoted"\nline é', "gpt", "u"), (None, None, None), ("", "", "")]
+    df = spark.createDataFrame(rows, ARTICLE)
+    encoded = to_article_messages(df)
+    keys = [set(json.loads(row.value)) for row in encoded.collect()]
+    assert keys == [{"url", "content", "model"}] * 3  # nulls are written
+    as_bytes = encoded.select(F.col("value").cast("binary").alias("value"))
+    assert sorted(map(str, decode_articles(as_bytes).collect())) == sorted(map(str, df.collect()))
+
+
+def test_broken_article_messages(spark):
+    lines = ["not json", "[1]", '{"content":"c', "null", '{"content":5,"model":"gpt","url":"u","more":1}',
+             '{"content":"a","content":"b","model":"gpt","url":"u"}', '{"model":"gpt"}', '{"content":"c","model":"x"}']
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "id int, value string")
+    decoded = {row.id: (row.content, row.model) for row in decode_articles(df, "id").collect()}
+    assert decoded[4] == ("5", "gpt") and decoded[5] == ("b", "gpt")
+    assert all(decoded[i] == (None, None) for i in range(4))
+    reasons = {row.id: row.reason for row in article_rejects(df, "id").collect()}
+    assert reasons == {0: "malformed", 1: "malformed", 2: "malformed", 3: "malformed",
+                       6: "nothing to rate", 7: "unknown model"}
+
+
+def test_result_messages_and_rejects(spark):
+    lines = ['{"url":"u","model":"gpt","result":"r","score":-999}', '{"url":"u","model":"gpt","result":"r","score":NaN}',
+             '{"url":"u","model":"gpt","result":"r","score":"NaN"}', '{"url":null,"model":null,"result":null,"score":null}',
+             '{"url":"u","model":"gpt","result":"r"}', "broken", "[]", '{"score":1,"result":"r","model":"m","url":"u","x":0}']
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "id int, value string")
+    whole = {row.id: row for row in decode_results(df, "id").collect()}
+    assert set(whole) == {0, 1, 2, 3, 7}
+    assert whole[0].score == -999.0 and whole[1].score != whole[1].score and whole[2].score != whole[2].score
+    assert {row.id: row.reason for row in result_rejects(df, "id").collect()} == {
+        4: "missing key", 5: "malformed", 6: "malformed"
+    }
+    again = decode_results(to_result_messages(decode_results(df)))
+    assert again.count() == 5
+
+
+def test_conform(spark):
+    df = spark.createDataFrame(
+        [("u", "m", s, "r") for s in (0.5, 1.5, -0.5, -1.5, -999.0, 1.6, float("nan"), None)],
+        "Link string, Model string, Score double, Reason string",
+    )
+    rows = conform(df.select("Reason", "Score", "Model", "Link"), RATED)
+    assert rows.schema.fieldNames() == RATED.fieldNames()
+    assert [row.Score for row in rows.collect()] == [0, 2, 0, -2, -999, 2, None, None]
+    text = spark.createDataFrame([("u", "t", "c", "s", "2024-02-03"), ("v", "t", "c", "s", "soon")],
+                                 "Link string, Title string, Content string, Source string, CollectDate string")
+    assert [str(row.CollectDate) for row in conform(text, NEWS).collect()] == ["2024-02-03", "None"]
+
+
+def test_stored_results(spark):
+    df = spark.createDataFrame([("u", "m", "r", 1.0)], "url string, model string, result string, score double")
+    assert to_stored_results(df).first().asDict() == {"url": "u", "model": "m", "result": "r", "bias_score": 1.0}

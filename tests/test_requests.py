@@ -1,0 +1,203 @@
+"""Each row of the outcome matrix, in every profile."""
+
+import pytest
+
+from tiltscale.operators.fetch import attach_pages
+from tiltscale.operators.intake import parse_requests
+from tiltscale.operators.rating import called, recorded
+from tiltscale.plans.profiles import ASYNC, LEGACY_ASYNC, LEGACY_SYNC, PROFILES, SYNC
+from tiltscale.plans.requests import acknowledgements, answers, accepted_articles, response_body, scrape
+
+M = "!$*_&"
+CNN = "https://www.cnn.com/a"
+OTHER = "https://x.org/a"
+BLANK = "https://x.org/blank"
+UNPARSED = "https://x.org/broken"
+
+PAGES = [
+    (1, CNN, '<div class="article__content-container">old</div>', 200, False),
+    (2, CNN, '<div class="article__content-container">left</div>', 200, False),  # a later capture
+    (3, OTHER, "<p>right</p><p> </p>", 200, False),
+    (4, BLANK, "<p> </p>", 200, False),
+    (5, "https://x.org/404", "<p>gone</p>", 404, False),
+    (6, "https://x.org/slow", None, None, True),
+    (7, "https://www.foxnews.com/moved", '<div class="article-body">r</div>', 301, False),
+]
+BODIES = [
+    (1, '{"url":"%s","model":"gpt","temperature":0.5}' % CNN),
+    (2, '{"url":"%s"}' % OTHER),
+    (3, '{"model":"gpt"}'),
+    (4, '{"url":"","model":"gpt"}'),
+    (5, '{"url":null,"model":"gpt"}'),
+    (6, '{"url":"%s","model":null}' % CNN),
+    (7, '{"url":"%s","model":"other"}' % CNN),
+    (8, '{"url":"https://x.org/none","model":"gpt"}'),
+    (9, '{"url":"%s","model":"claude"}' % BLANK),
+    (10, '{"url":"https://x.org/404","model":"gpt"}'),
+    (11, '{"url":"https://x.org/slow","model":"gpt"}'),
+    (12, "not json"),
+    (13, "null"),
+    (14, '{"url":"%s","model":"gemini"}' % CNN),
+    (15, '{"url":"%s","url":"%s","model":"gpt","extra":[1]}' % (OTHER, CNN)),
+    (16, '{"url":"https://www.foxnews.com/moved","model":"gpt"}'),
+    (17, '{"url":"https://x.org/none","model":"other"}'),
+]
+RESPONSES = [
+    (CNN, "gpt", f"why {M}-1{M}"),
+    (OTHER, "gpt", f"why {M}2{M}"),
+    (BLANK, "claude", "nothing there"),
+    ("https://www.foxnews.com/moved", "gpt", f"{M}1{M}"),
+]
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return (
+        spark.createDataFrame(BODIES, "request_id long, body string"),
+        spark.createDataFrame(PAGES, "page_id long, url string, html string, http_status int, timed_out boolean"),
+        spark.createDataFrame(RESPONSES, "url string, model string, result string"),
+    )
+
+
+def by_id(df, *columns):
+    return {row.request_id: tuple(row[c] for c in columns) for row in df.collect()}
+
+
+def test_parse_requests(spark, tables):
+    found = by_id(parse_requests(tables[0], SYNC), "url", "model", "temperature", "status", "error")
+    assert found[1] == (CNN, "gpt", 0.5, None, None)
+    assert found[2] == (OTHER, "gpt", 0.0, None, None)
+    assert found[3] == (None, "gpt", 0.0, 400, "No URL provided")
+    assert found[4] == ("", "gpt", 0.0, None, None)
+    assert found[5][3] is None
+    assert found[6] == (CNN, None, 0.0, None, None)  # null is not absent
+    assert found[12][3] == found[13][3] == 400
+    assert found[15] == (CNN, "gpt", 0.0, None, None)  # the last of repeated keys counts
+    asked = by_id(parse_requests(tables[0], ASYNC), "temperature", "status")
+    assert asked[1] == (0.0, None) and asked[4] == asked[5] == (0.0, 400)
+    assert by_id(parse_requests(tables[0], LEGACY_SYNC), "model")[2] == (None,)
+
+
+def test_temperature_null_and_text(spark):
+    df = spark.createDataFrame([(1, '{"url":"u","temperature":null}'), (2, '{"url":"u","temperature":1}')],
+                               "request_id long, body string")
+    assert by_id(parse_requests(df, SYNC), "temperature") == {1: (None,), 2: (1.0,)}
+
+
+SYNC_WANTED = {
+    1: (200, "cnn", "why -1", -1.0, None),
+    2: (200, "unknown", "why 2", 2.0, None),
+    3: (400, None, None, None, "No URL provided"),
+    4: (500, None, None, None, "Failed to fetch URL: no page for "),
+    5: (500, None, None, None, "Failed to fetch URL: no page for null"),
+    6: (500, None, None, None, "cannot unpack non-iterable NoneType object"),
+    7: (500, None, None, None, "cannot unpack non-iterable NoneType object"),
+    8: (500, None, None, None, "Failed to fetch URL: no page for https://x.org/none"),
+    9: (200, "unknown", "nothing there", -999.0, None),  # blank text is rated all the same
+    10: (500, None, None, None, "Failed to fetch URL: no page for https://x.org/404"),
+    11: (500, None, None, None, "Failed to fetch URL: no page for https://x.org/slow"),
+    12: (400, None, None, None, "No URL provided"),
+    13: (400, None, None, None, "No URL provided"),
+    14: (500, None, None, None, "no recorded answer"),
+    15: (200, "cnn", "why -1", -1.0, None),
+    16: (200, "foxnews", "1", 1.0, None),
+    17: (500, None, None, None, "Failed to fetch URL: no page for https://x.org/none"),
+}
+
+
+def check_sync(tables):
+    requests, pages, responses = tables
+    found = answers(requests, pages, recorded(responses), SYNC)
+    assert by_id(found, "status", "source", "result", "score", "error") == SYNC_WANTED
+
+
+def test_sync_outcomes(spark, tables):
+    check_sync(tables)
+
+
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_sync_outcomes_without_broadcast(spark, tables, no_broadcast, monkeypatch, share):
+    """Pages parsed in place, or shuffled first."""
+    monkeypatch.setattr("tiltscale.operators.fetch._MOST_PAGES", share)
+    check_sync(tables)
+
+
+def test_async_outcomes(spark, tables):
+    requests, pages, _ = tables
+    scraped = scrape(requests, pages, ASYNC)
+    found = by_id(acknowledgements(scraped, ASYNC), "status", "message", "source", "error")
+    accepted = "Article sent for processing"
+    assert found[1] == (202, accepted, "cnn", None)
+    assert found[2] == (202, accepted, "unknown", None)
+    for missing in (3, 4, 5, 12, 13):
+        assert found[missing] == (400, None, None, "No URL provided")
+    for later in (6, 7, 14):  # the model is not looked at yet
+        assert found[later] == (202, accepted, "cnn", None)
+    assert found[8] == (500, None, None, "no page for https://x.org/none")
+    assert found[9] == (400, None, None, "No content extracted from the article")
+    assert found[10][0] == 500
+    assert found[11] == (504, None, None, "Request timed out")
+    texts = {(r.url, r.model): r.content for r in accepted_articles(scraped).collect()}
+    assert texts[(CNN, "gpt")] == "left"  # the last capture
+    assert texts[(OTHER, "gpt")] == "right"  # empty blocks dropped
+    assert (CNN, None) in texts and (BLANK, "claude") not in texts
+
+
+def test_legacy_outcomes(spark, tables):
+    requests, pages, responses = tables
+    found = by_id(answers(requests, pages, recorded(responses), LEGACY_SYNC), "status", "result", "score", "error")
+    assert found[1] == (200, "why -1", -1.0, None)
+    assert found[2] == (500, None, None, "Internal Server Error")  # no default model, publisher not identified
+    assert found[4] == found[5] == (400, None, None, "No URL provided")
+    assert found[6] == found[14] == (500, None, None, "Internal Server Error")
+    assert found[8] == (500, None, None, "no page for https://x.org/none")
+    acks = acknowledgements(scrape(requests, pages, LEGACY_ASYNC), LEGACY_ASYNC)
+    assert acks.columns == ["request_id", "status", "message", "error"]
+    assert by_id(acks, "status")[6] == (202,)
+    assert by_id(acks, "status")[2] == (500,)
+
+
+def test_every_request_has_one_outcome(spark, tables):
+    requests, pages, responses = tables
+    for profile in PROFILES.values():
+        outcome = answers(requests, pages, recorded(responses), profile)
+        assert sorted(r.request_id for r in outcome.select("request_id").collect()) == [i for i, _ in BODIES]
+
+
+def test_response_bodies(spark, tables):
+    requests, pages, responses = tables
+    bodies = by_id(response_body(answers(requests, pages, recorded(responses), SYNC)), "status", "body")
+    assert bodies[1] == (200, '{"source":"cnn","result":"why -1","score":-1.0}')
+    assert bodies[3] == (400, '{"error":"No URL provided"}')
+
+
+def test_failing_call_answers_with_its_cause(spark, tables):
+    requests, pages, _ = tables
+
+    def client():
+        def ask(prompt, options):
+            if '"""left"""' in prompt:
+                raise RuntimeError("quota")
+            return f"{options['temperature']} {M}1{M}"
+
+        return ask
+
+    found = by_id(answers(requests, pages, called(client), SYNC), "status", "result", "error")
+    assert found[1] == (500, None, "quota")
+    assert found[2] == (200, "0.0 1", None)
+    assert found[3] == (400, None, "No URL provided")
+
+
+def test_attach_pages_takes_the_last_capture(spark, tables):
+    requests, pages, _ = tables
+    found = by_id(attach_pages(parse_requests(requests, SYNC), pages, SYNC), "html", "status")
+    assert "left" in found[1][0] and found[1][1] is None
+    assert found[8] == (None, 500)
+
+
+def test_unreadable_page(spark):
+    requests = spark.createDataFrame([(1, '{"url":"u","model":"gpt"}')], "request_id long, body string")
+    pages = spark.createDataFrame([(1, "u", None)], "page_id long, url string, html string")
+    responses = spark.createDataFrame([("u", "gpt", "r")], "url string, model string, result string")
+    found = by_id(answers(requests, pages, recorded(responses), SYNC), "status", "error")
+    assert found == {1: (500, "Internal Server Error")}
