@@ -38,7 +38,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["sync_answers", "async_outcomes", "accepted_articles", "page_fetch"])
+@pytest.mark.parametrize("name", ["sync_answers", "async_outcomes", "accepted_articles", "page_fetch", "blocks_p"])
 def test_html_is_read_once_and_parsed_once(spark, no_broadcast, name):
     plan = plan_of(entry.queries()[name](spark, FOLDER))
     assert plan.count("html:string>") == 1

@@ -133,11 +133,7 @@ def block_texts(page, element, class_token=None):
     return parser.texts()
 
 
-_BLOCKS = T.ArrayType(T.StringType())
-
-
-@F.arrow_udf(_BLOCKS)
-def _select_blocks(page: pa.Array, element: pa.Array, class_token: pa.Array) -> pa.Array:
+def _blocks_of_batch(page: pa.Array, element: pa.Array, class_token: pa.Array) -> pa.Array:
     rows = zip(page, element, class_token)
     return pa.array(
         (
@@ -148,6 +144,11 @@ def _select_blocks(page: pa.Array, element: pa.Array, class_token: pa.Array) ->
     )
 
 
+# Declared non-deterministic so that the optimizer never evaluates it twice; it
+# would, for instance, to filter pages before their blocks are exploded.
+_select_blocks = F.arrow_udf(_blocks_of_batch, T.ArrayType(T.StringType())).asNondeterministic()
+
+
 def select_blocks(page, element, class_token=None):
     """``array<string>`` of block texts; null for a null page or element."""
     no_class = F.lit(None).cast("string")
