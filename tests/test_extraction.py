@@ -140,3 +140,16 @@ def test_white_space_is_pythons(spark):
     for text, (_, blank, stripped) in zip(texts, rows):
         assert blank == (None if text is None else not text.strip())
         assert stripped == (None if text is None else text.strip())
+
+
+def test_output_far_larger_than_its_pages(spark, monkeypatch):
+    """Batches are split where unclosed paragraphs repeat much text; rows stay in place."""
+    monkeypatch.setattr("tiltscale.functions.html_blocks._BATCH_CHARACTERS", 10_000)
+    pages = spark.range(0, 60, 1, 2).select(
+        "id", F.expr("case when id % 5 = 0 then null else concat(repeat('<p>ab', cast(id as int)), id) end").alias("html")
+    )
+    found = pages.select("id", select_blocks(F.col("html"), F.lit("p")).alias("blocks")).collect()
+    assert len(found) == 60
+    for row in found:
+        wanted = None if row.id % 5 == 0 else ["ab" * (row.id - i) + str(row.id) for i in range(row.id)]
+        assert row.blocks == wanted

@@ -9,6 +9,7 @@ keeps the columns around it, and with them the partitioning by URL.
 """
 
 import html.entities
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,6 +25,9 @@ _VOID = frozenset(
 _HIDDEN_TEXT = frozenset("rp rt script style template".split())
 
 
+_BLOCKS = pa.list_(pa.string())
+
+
 class _BlockParser(HTMLParser):
     """Collects stripped text runs and, per wanted element, the runs inside it."""
 
@@ -38,6 +42,10 @@ class _BlockParser(HTMLParser):
         self.spans = []  # [first run, end run] of each wanted element
         self.void_closed = {}  # void elements whose own end tag may follow, counted
 
+    def updatepos(self, i, j):
+        """Line numbers are of no use here and cost a pass over the text."""
+        return j
+
     def end_run(self):
         if self.pending:
             run = "".join(self.pending).strip()
@@ -133,20 +141,30 @@ def block_texts(page, element, class_token=None):
     return parser.texts()
 
 
-def _blocks_of_batch(page: pa.Array, element: pa.Array, class_token: pa.Array) -> pa.Array:
-    rows = zip(page, element, class_token)
-    return pa.array(
-        (
-            block_texts(p.as_py(), e.as_py(), c.as_py()) if p.is_valid and e.is_valid else None
-            for p, e, c in rows
-        ),
-        type=pa.list_(pa.string()),
-    )
+# Characters of block text after which an output batch is closed.  Unclosed
+# paragraphs repeat the text in them, so output can be far larger than its page.
+_BATCH_CHARACTERS = 16 * 1024 * 1024
+
+
+def _blocks_of_batches(
+    batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]],
+) -> Iterator[pa.Array]:
+    for batch in batches:
+        found, size = [], 0
+        for page, element, class_token in zip(*batch):
+            whole = page.is_valid and element.is_valid
+            texts = block_texts(page.as_py(), element.as_py(), class_token.as_py()) if whole else None
+            found.append(texts)
+            size += sum(map(len, texts or ()))
+            if size > _BATCH_CHARACTERS:
+                yield pa.array(found, _BLOCKS)
+                found, size = [], 0
+        yield pa.array(found, _BLOCKS)
 
 
 # Declared non-deterministic so that the optimizer never evaluates it twice; it
 # would, for instance, to filter pages before their blocks are exploded.
-_select_blocks = F.arrow_udf(_blocks_of_batch, T.ArrayType(T.StringType())).asNondeterministic()
+_select_blocks = F.arrow_udf(_blocks_of_batches, T.ArrayType(T.StringType())).asNondeterministic()
 
 
 def select_blocks(page, element, class_token=None):
