@@ -54,6 +54,5 @@ def test_column_work_needs_no_python_and_no_shuffle(spark, name):
 
 def test_html_is_not_shuffled_when_most_pages_are_wanted(spark, no_broadcast):
     plan = plan_of(entry.queries()["sync_answers"](spark, FOLDER))
-    join = plan.index("ShuffledHashJoin")
-    # The parser stands between the join's shuffle and the scan.
-    assert join < plan.index("ArrowEvalPython") < plan.index("html:string>")
+    parser, scan = plan.index("ArrowEvalPython"), plan.index("html:string>")
+    assert parser < scan and "Exchange" not in plan[parser:scan]

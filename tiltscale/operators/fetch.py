@@ -19,29 +19,6 @@ def _good_url(requests):
     return F.when(F.col("status").isNull(), F.col("url"))
 
 
-def _captures(wanted, pages, profile, carried, early):
-    """``carried`` columns of the last capture of each wanted URL.
-
-    Which capture counts is settled on identifiers alone; only pages asked for
-    carry more.  Few wanted URLs are broadcast and the pages stay in place.  Many
-    are met in one shuffle keyed on URL and page, which spreads a URL captured
-    very often, and joined by hashing the identifiers, so nothing heavy is sorted.
-    Where ``early`` is given and most pages are wanted, every page is reduced to
-    these columns in place, and HTML is not shuffled at all.
-    """
-    size = profile.key_bytes + 8 * profile.keys
-    found = pages.select("url", "page_id")
-    if size <= broadcast_bytes(pages.sparkSession):
-        last = found.join(F.broadcast(wanted), "url").groupBy(*wanted.columns).agg(F.max("page_id").alias("page_id"))
-        return spread_small_input(pages).join(F.broadcast(last), ["url", "page_id"]).select("url", *carried)
-    # Grouped before it meets the wanted URLs, so that neither side of that join
-    # has a URL twice; both are then partitioned by URL already.
-    last = found.groupBy("url").agg(F.max("page_id").alias("page_id")).join(wanted, "url").hint("shuffle_hash")
-    if early is not None and profile.keys >= _MOST_PAGES * pages.count():
-        return pages.select("url", "page_id", *early).join(last, ["url", "page_id"]).drop("page_id", "needs_text")
-    return pages.join(last, ["url", "page_id"]).select("url", *carried)
-
-
 def _fetch_outcome(pages):
     """Columns ``fetched`` and ``timed_out`` of a capture.
 
@@ -70,17 +47,49 @@ def _mark_fetch(requests, profile):
     })
 
 
-def _attach(requests, pages, profile, carried, early=None, needs_text=None):
+def _last_captures(pages):
+    """``[url, page_id]`` of the last capture of each URL, settled on identifiers alone."""
+    return pages.select("url", "page_id").groupBy("url").agg(F.max("page_id").alias("page_id"))
+
+
+def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls=None):
+    """Requests with ``carried``, a column over the last capture of their URL.
+
+    ``carried`` may use ``needs_text``, which says whether any request of the URL
+    needs it; ``early`` is the same column without that.  Three ways, by size:
+
+    * Few URLs are broadcast, and the pages stay in place.
+    * Where most pages are wanted, each is reduced to ``early`` in place, and the
+      requests, which learn the page they want first, meet that.
+    * Else the wanted pages are found in one shuffle keyed on URL and page, which
+      spreads a URL captured very often, and joined by hashing the identifiers,
+      so that no HTML is sorted.
+    """
     keyed = requests.withColumn("__url", _good_url(requests))
-    keys = profile_keys(keyed, ["__url"])
+    urls = urls or profile_keys(requests, ["url"])
+    size = urls.key_bytes + 8 * urls.keys
+    few = size <= broadcast_bytes(pages.sparkSession)
+    outcome = _fetch_outcome(pages)
+    if early is not None and not few and urls.keys >= _MOST_PAGES * pages.count():
+        placed = lookup(keyed, _last_captures(pages).withColumnRenamed("url", "__url"), ["__url"], profile=urls)
+        reduced = pages.select(F.col("url").alias("__url"), "page_id", early, *outcome)
+        joined = lookup(placed, reduced, ["__url", "page_id"], profile=urls, measured=["__url"]).drop("page_id")
+        return _mark_fetch(joined, profile).drop("__url", "fetched", "timed_out")
+
     wanted = (
         keyed.where(F.col("__url").isNotNull())
         .groupBy(F.col("__url").alias("url"))
         .agg((F.lit(True) if needs_text is None else F.bool_or(needs_text)).alias("needs_text"))
     )
-    outcome = _fetch_outcome(pages)
-    found = _captures(wanted, pages, keys, [carried, *outcome], None if early is None else [early, *outcome])
-    joined = lookup(keyed, found.withColumnRenamed("url", "__url"), ["__url"], profile=keys)
+    if few:
+        found = pages.select("url", "page_id").join(F.broadcast(wanted), "url")
+        last = F.broadcast(found.groupBy(*wanted.columns).agg(F.max("page_id").alias("page_id")))
+        pages = spread_small_input(pages)
+    else:
+        # Neither side of this join has a URL twice, and both are partitioned by it.
+        last = _last_captures(pages).join(wanted, "url").hint("shuffle_hash")
+    captured = pages.join(last, ["url", "page_id"]).select(F.col("url").alias("__url"), carried, *outcome)
+    joined = lookup(keyed, captured, ["__url"], profile=urls)
     return _mark_fetch(joined, profile).drop("__url", "fetched", "timed_out")
 
 
@@ -100,12 +109,13 @@ def extract_blocks(pages, strict_www=False):
     )
 
 
-def attach_articles(requests, pages, profile, only_models=None):
+def attach_articles(requests, pages, profile, only_models=None, urls=None):
     """Requests with source and article text, each page fetched and parsed once.
 
     The HTML goes no further than the parser; requests are joined to text.  Pages
     asked for only with models outside ``only_models`` are not parsed, as their
-    requests fail whatever the text.
+    requests fail whatever the text.  ``urls`` is the profile of the requests' URLs,
+    where it is known already.
     """
     needs_text = F.coalesce(F.col("model").isin(*only_models), F.lit(False)) if only_models else None
     source = identify_source(F.col("url"), profile.strict_www)
@@ -116,7 +126,8 @@ def attach_articles(requests, pages, profile, only_models=None):
 
     element = block_element(source)
     carried = content(F.when(F.col("needs_text"), element))
-    articles = _attach(requests, pages, profile, carried, content(element), needs_text).withColumn("source", source)
+    attached = _attach(requests, pages, profile, carried, content(element), needs_text, urls)
+    articles = attached.withColumn("source", source)
 
     good = F.col("status").isNull()
     unreadable = good & F.col("content").isNull()

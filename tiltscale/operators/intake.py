@@ -7,8 +7,19 @@ from tiltscale.plans.profiles import SYNC
 from tiltscale.schemas import REQUEST_BODY
 
 
-def _has(keys, name):
-    return F.coalesce(F.map_contains_key(keys, name), F.lit(False))
+def _has(name):
+    """Whether the body has the key, be it with a null.
+
+    The keys are only parsed where the field came out null and the text may hold
+    its name; with a backslash the name could be escaped.
+    """
+    body = F.col("body")
+    parsed = F.map_contains_key(F.from_json(body, "map<string,string>"), name)
+    return (
+        F.when(F.col(f"data.{name}").isNotNull(), True)
+        .when(~F.contains(body, F.lit(name)) & ~F.contains(body, F.lit("\\")), False)
+        .otherwise(F.coalesce(parsed, F.lit(False)))
+    )
 
 
 def parse_requests(requests, profile=SYNC):
@@ -17,23 +28,18 @@ def parse_requests(requests, profile=SYNC):
     Defaults stand in for keys that are absent, not for nulls.  ``status`` and
     ``error`` stay null while a request is still good.
     """
-    decoded = requests.select(
-        "request_id",
-        F.from_json("body", REQUEST_BODY).alias("data"),
-        F.from_json("body", "map<string,string>").alias("keys"),
-    )
-    keys = F.col("keys")
+    decoded = requests.select("request_id", "body", F.from_json("body", REQUEST_BODY).alias("data"))
     url = F.col("data.url")
-    missing = ~_has(keys, "url")
+    missing = ~_has("url")
     if profile.empty_url_is_missing:
         missing = missing | url.isNull() | (url == "")
 
     model = F.col("data.model")
     if profile.default_model is not None:
-        model = F.when(~_has(keys, "model"), profile.default_model).otherwise(model)
+        model = F.when(~_has("model"), profile.default_model).otherwise(model)
     temperature = F.lit(profile.default_temperature)
     if profile.temperature_in_request:
-        temperature = F.when(~_has(keys, "temperature"), temperature).otherwise(F.col("data.temperature"))
+        temperature = F.when(~_has("temperature"), temperature).otherwise(F.col("data.temperature"))
 
     return decoded.select(
         "request_id",

@@ -15,14 +15,14 @@ _KEY_OVERHEAD = 64
 
 @dataclass(frozen=True)
 class KeyProfile:
-    """Sizes of a key column set, from one pre-aggregated pass."""
+    """Sizes of a set of key columns, and the keys that hold most rows."""
 
     rows: int
-    null_rows: int
+    null_rows: int  # rows without a key
     keys: int
     key_bytes: int
-    longest_key: int
-    hottest: int
+    hottest: int  # rows of the most frequent key
+    hot: tuple = ()  # (hash of the key, rows), at most 1 / HOT_SHARE of them
 
     @property
     def hot_floor(self):
@@ -33,13 +33,6 @@ class KeyProfile:
         return self.hottest > self.hot_floor or self.null_rows > self.hot_floor
 
 
-def _key_length(keys):
-    length = F.lit(_KEY_OVERHEAD)
-    for key in keys:
-        length = length + F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0))
-    return length
-
-
 def _no_nulls(keys):
     test = F.lit(True)
     for key in keys:
@@ -47,19 +40,40 @@ def _no_nulls(keys):
     return test
 
 
+def _key_hash(keys):
+    """Hash of a key; null without one.  Equal keys have equal hashes on both sides."""
+    return F.when(_no_nulls(keys), F.xxhash64(*keys))
+
+
 def profile_keys(df, keys):
-    """Measure ``keys`` of a batch DataFrame; reads no other columns."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    whole = _no_nulls(keys)
+    """Measure ``keys`` of a batch DataFrame; reads no other columns.
+
+    Keys are counted by their hash, in fixed-size rows, and pre-aggregated before
+    they are shuffled.  A collision makes two keys count as one, which spreads
+    both and changes no result.
+    """
+    length = F.lit(_KEY_OVERHEAD)
+    for key in keys:
+        length = length + F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0))
+    counts = (
+        df.select(_key_hash(keys).alias("h"), length.alias("size"))
+        .groupBy("h")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    )
+    keyed = F.col("h").isNotNull()
     row = counts.agg(
         F.sum("n").alias("rows"),
-        F.sum(F.when(~whole, F.col("n"))).alias("null_rows"),
-        F.count(F.when(whole, 1)).alias("keys"),
-        F.sum(F.when(whole, _key_length(keys))).alias("key_bytes"),
-        F.max(F.when(whole, _key_length(keys))).alias("longest_key"),
-        F.max(F.when(whole, F.col("n"))).alias("hottest"),
+        F.sum(F.when(~keyed, F.col("n"))).alias("null_rows"),
+        F.count("h").alias("keys"),
+        F.sum(F.when(keyed, F.col("size"))).alias("key_bytes"),
+        F.max(F.when(keyed, F.col("n"))).alias("hottest"),
     ).first()
-    return KeyProfile(**{name: int(value or 0) for name, value in row.asDict().items()})
+    profile = KeyProfile(**{name: int(value or 0) for name, value in row.asDict().items()})
+    if profile.hottest <= profile.hot_floor:
+        return profile
+    # At most rows / hot_floor rows of two numbers each come to the driver.
+    hot = counts.where(keyed & (F.col("n") > profile.hot_floor)).select("h", "n").collect()
+    return KeyProfile(**{**vars(profile), "hot": tuple(map(tuple, hot))})
 
 
 def broadcast_bytes(spark):
@@ -70,47 +84,37 @@ def broadcast_bytes(spark):
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
-def broadcast_if(df, size):
-    """``df`` marked for broadcast when ``size`` bytes are within the setting."""
-    return F.broadcast(df) if size <= broadcast_bytes(df.sparkSession) else df
-
+def lookup(left, right, keys, how="left", profile=None, measured=None):
+    """Join ``left`` to ``right``, which has few rows per key.
 
-def lookup(left, right, keys, how="left", profile=None):
-    """Join ``left`` to ``right``, which has one row per key.
-
-    Rows of a hot key, and rows without a key, are spread over salts; the few
-    right rows of hot keys are repeated once per salt, at most 2 / HOT_SHARE
-    extra rows in all.  The salt comes from the input partition, so copies of one
-    row are spread as well and a retried task repeats its salts.  A streaming
-    ``left`` is joined as it is: its micro-batches are bounded by the source.
+    Rows of a hot key, and rows without a key, are spread over salts; the right
+    rows of hot keys are repeated once per salt, at most 2 / HOT_SHARE times in
+    all.  The salt comes from the input partition, so copies of one row are spread
+    as well and a retried task repeats its salts.  ``profile`` may have been taken
+    of part of the keys, ``measured``.  A streaming ``left`` is joined as it is:
+    its micro-batches are bounded by the source.
     """
+    keys = list(keys)
+    measured = measured or keys
     if left.isStreaming:
-        return left.join(right, list(keys), how)
-    profile = profile or profile_keys(left, keys)
+        return left.join(right, keys, how)
+    profile = profile or profile_keys(left, measured)
     if not profile.skewed:
-        return left.join(right, list(keys), how)
+        return left.join(right, keys, how)
 
-    keys = list(keys)
-    floor = profile.hot_floor
-    hot = (
-        left.where(_no_nulls(keys))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > floor)
-        .select(*keys, F.ceil(F.col("__n") / floor).cast("int").alias("__salts"))
-    )
-    # At most rows / floor hot keys exist; past the broadcast setting the list
-    # is joined like any other table.
-    hot = broadcast_if(hot, min(profile.keys, profile.rows // floor) * profile.longest_key)
-
-    spread = F.xxhash64(F.spark_partition_id())
-    salts = F.when(_no_nulls(keys), F.coalesce("__salts", F.lit(1))).otherwise(int(1 / HOT_SHARE))
-    salted_left = left.join(hot, keys, "left").withColumn("__salt", F.pmod(spread, salts).cast("int")).drop("__salts")
-    salted_right = (
-        right.join(hot, keys, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
-        .drop("__salts")
-    )
+    rows = [(key_hash, -(-n // profile.hot_floor)) for key_hash, n in profile.hot]
+    # Bounded by 1 / HOT_SHARE rows of two numbers, so broadcast whatever the setting.
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, "__hash long, __salts int"))
+
+    def with_salts(df):
+        hashed = df.withColumn("__hash", _key_hash(measured))
+        return hashed.join(hot, "__hash", "left").drop("__hash")
+
+    salts = F.when(_no_nulls(measured), F.coalesce("__salts", F.lit(1))).otherwise(int(1 / HOT_SHARE))
+    spread = F.pmod(F.xxhash64(F.spark_partition_id()), salts).cast("int")
+    salted_left = with_salts(left).withColumn("__salt", spread).drop("__salts")
+    every_salt = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    salted_right = with_salts(right).withColumn("__salt", every_salt).drop("__salts")
     return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")
 
 

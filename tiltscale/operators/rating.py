@@ -1,11 +1,11 @@
 """The rating step and the backends that can answer it.
 
-A backend is a function ``(df, key_source) → DataFrame``.  It gets rows with at
+A backend is a function ``(df, measure) → DataFrame``.  It gets rows with at
 least ``url``, ``model``, ``prompt`` and ``options`` (JSON text) and adds
 ``result`` and ``rating_error``, one of which is null.  Rows with a null prompt
 are passed through with both null, so one pass serves good and refused rows
-alike.  ``key_source`` holds the same URLs and models without the work done on
-``df`` since, for backends that measure their keys first.
+alike.  ``measure()`` gives the profile of the batch's URLs, without the work done
+on ``df`` since, to backends that join.
 """
 
 import json
@@ -48,12 +48,12 @@ def recorded(responses, unique=False):
     if not unique:
         answers = answers.groupBy("url", "model").agg(F.min("result").alias("result"))
 
-    def backend(df, key_source):
-        profile = None if df.isStreaming else profile_keys(key_source, ["url", "model"])
+    def backend(df, measure):
         # The flag goes through the join in place of the prompt, where nobody
         # asks for that.
         marked = df.withColumn("__asked", F.col("prompt").isNotNull())
-        found = lookup(marked, answers, ["url", "model"], profile=profile)
+        urls = None if df.isStreaming else measure()
+        found = lookup(marked, answers, ["url", "model"], profile=urls, measured=["url"])
         return found.withColumns({
             "result": F.when(F.col("__asked"), F.col("result")),
             "rating_error": F.when(F.col("__asked") & F.col("result").isNull(), "no recorded answer"),
@@ -65,7 +65,7 @@ def recorded(responses, unique=False):
 def stub():
     """The same text for every article, whatever the model."""
 
-    def backend(df, key_source):
+    def backend(df, measure):
         return df.withColumns({
             "result": F.when(F.col("prompt").isNotNull(), STUB_RATING_TEXT),
             "rating_error": F.lit(None).cast("string"),
@@ -87,7 +87,7 @@ def called(make_client, calls_in_flight=1):
     from there rather than use the returned DataFrame twice.
     """
 
-    def backend(df, key_source):
+    def backend(df, measure):
         schema = T.StructType(
             df.schema.fields
             + [T.StructField("result", T.StringType()), T.StructField("rating_error", T.StringType())]
@@ -120,7 +120,7 @@ def called(make_client, calls_in_flight=1):
 
 # --- the step -------------------------------------------------------------------
 
-def rate(df, backend, template="detailed", streaming_options=False, when=None, any_model=False, key_source=None):
+def rate(df, backend, template="detailed", streaming_options=False, when=None, any_model=False, measure=None):
     """Add ``prompt``, ``result`` and ``rating_error`` to ``[url, content, model, …]``.
 
     Rows where ``when`` does not hold are left unrated.  A model nobody knows
@@ -133,7 +133,7 @@ def rate(df, backend, template="detailed", streaming_options=False, when=None, a
         "prompt": F.when(wanted & known, build_prompt(F.col("content"), template)),
         "options": F.to_json(model_options(F.col("model"), temperature, streaming_options)),
     })
-    rated = backend(prepared, df if key_source is None else key_source).drop("options")
+    rated = backend(prepared, measure or (lambda: profile_keys(df, ["url"]))).drop("options")
     return rated.withColumn(
         "rating_error", F.when(wanted & ~known, UNKNOWN_MODEL).otherwise(F.col("rating_error"))
     )
@@ -156,7 +156,13 @@ def rate_articles(articles, backend, any_model=False):
     accepted = rateable(articles)
     if not any_model:
         accepted = accepted.where(is_known_model(F.col("model")))
-    rated = with_fallback(
-        rate(accepted, backend, "brief", streaming_options=True, any_model=any_model, key_source=articles)
+    rated = rate(
+        accepted,
+        backend,
+        "brief",
+        streaming_options=True,
+        any_model=any_model,
+        measure=lambda: profile_keys(articles, ["url"]),
     )
+    rated = with_fallback(rated)
     return rated.select("url", "model", "result", parse_score(F.col("result")).alias("score"))

@@ -6,6 +6,7 @@ from tiltscale.fixed_values import ACCEPTED, INTERNAL_ERROR, KNOWN_MODELS
 from tiltscale.functions.score import clean_result, parse_score
 from tiltscale.operators.fetch import attach_articles
 from tiltscale.operators.intake import parse_requests
+from tiltscale.operators.lookup import profile_keys
 from tiltscale.operators.rating import rate
 from tiltscale.plans.profiles import ASYNC, SYNC
 
@@ -26,9 +27,10 @@ def answers(requests, pages, backend, profile=SYNC):
     and ``model`` for storing.
     """
     parsed = parse_requests(requests, profile)
-    scraped = attach_articles(parsed, pages, profile, KNOWN_MODELS)
+    urls = profile_keys(parsed, ["url"])
+    scraped = attach_articles(parsed, pages, profile, KNOWN_MODELS, urls)
     good = F.col("status").isNull()
-    rated = rate(scraped, backend, profile.template, when=good, key_source=parsed)
+    rated = rate(scraped, backend, profile.template, when=good, measure=lambda: urls)
     failed = good & F.col("rating_error").isNotNull()
     cause = F.col("rating_error") if profile.error_details else F.lit(INTERNAL_ERROR)
     settled = rated.withColumns({
