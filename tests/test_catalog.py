@@ -56,3 +56,14 @@ def test_html_is_not_shuffled_when_most_pages_are_wanted(spark, no_broadcast):
     plan = plan_of(entry.queries()["sync_answers"](spark, FOLDER))
     parser, scan = plan.index("ArrowEvalPython"), plan.index("html:string>")
     assert parser < scan and "Exchange" not in plan[parser:scan]
+
+
+@pytest.mark.parametrize("name", ["decode_articles", "decode_results", "article_rejects", "result_rejects"])
+def test_messages_are_parsed_once(spark, name):
+    plan = plan_of(entry.queries()[name](spark, FOLDER))
+    assert plan.count("from_json(StructField") == 1
+
+
+def test_prompts_stay_out_of_joins_that_do_not_need_them(spark, no_broadcast):
+    plan = plan_of(entry.queries()["result_messages"](spark, FOLDER))
+    assert "You are an AI" not in plan

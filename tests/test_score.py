@@ -44,7 +44,8 @@ CASES = [
     (f"{M}0x1p3{M}", -999.0),
     (f"{M}−1{M}", -999.0),
     (f"{M} 1{M}", 1.0),
-    (f"{M}\x1c1\x1f{M}", 1.0),
+    (f"{M}\x1c1\x1f{M}", -999.0),
+    (f"{M}\x851\u3000{M}", 1.0),
     (f"{M}٣{M}", 3.0),
     (f"{M}١.٥{M}", 1.5),
     (f"{M}\U0001d7da{M}", 2.0),

@@ -5,12 +5,13 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from tiltscale.fixed_values import FAILED_SCORE, SCORE_MARKER
-from tiltscale.functions.text import strip
 
-_DIGITS = r"[0-9](_?[0-9])*"
-_NUMBER = rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
-_NAN = r"(?i)^[+-]?nan$"
-_INFINITE = r"(?i)^[+-]?inf(inity)?$"
+# The white space a number may stand in: Unicode's, without the four separators
+# that str.strip() takes as well.
+_SPACE = r"(?U)^\s+|\s+$"
+_DIGITS = r"[0-9](?:_?[0-9])*"
+_NUMBER = rf"(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
+_FLOAT = rf"(?i)^[+-]?(?:{_NUMBER}|nan|inf(?:inity)?)$"
 
 # Every decimal digit of every script, with its value, by rule from the Unicode
 # tables: Python reads them all as digits, Spark's cast only the ASCII ones.
@@ -21,9 +22,10 @@ _FOREIGN_DIGITS = {
 }
 
 
-def _ascii_digits(text):
-    translated = F.translate(text, "".join(_FOREIGN_DIGITS), "".join(_FOREIGN_DIGITS.values()))
-    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7f]")), translated).otherwise(text)
+def _parse_ascii(text):
+    number = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+    # The only such text that the cast does not take is a NaN with a sign.
+    return F.when(F.rlike(text, F.lit(_FLOAT)), F.coalesce(number, F.lit(float("nan"))))
 
 
 def parse_number(text):
@@ -32,15 +34,10 @@ def parse_number(text):
     Spark's own cast also takes ``1d``, ``1.0f`` and ``0x1p3`` and does not take
     ``1_0``, hence the check of the grammar in front of it.
     """
-    bare = _ascii_digits(strip(text))
-    return (
-        F.when(F.rlike(bare, F.lit(_NUMBER)), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
-        .when(F.rlike(bare, F.lit(_NAN)), F.lit(float("nan")))
-        .when(
-            F.rlike(bare, F.lit(_INFINITE)),
-            F.when(F.startswith(bare, F.lit("-")), float("-inf")).otherwise(float("inf")),
-        )
-    )
+    bare = F.regexp_replace(text, _SPACE, "")
+    translated = F.translate(bare, "".join(_FOREIGN_DIGITS), "".join(_FOREIGN_DIGITS.values()))
+    foreign = F.when(F.rlike(bare, F.lit(r"[^\x00-\x7f]")), translated)
+    return F.coalesce(_parse_ascii(bare), _parse_ascii(foreign))
 
 
 def parse_score(result):
@@ -49,9 +46,9 @@ def parse_score(result):
     That piece lies between the last marker and the one before it, or the start
     of the text.
     """
-    tail = F.substring_index(result, SCORE_MARKER, -2)
-    piece = F.when(F.contains(result, F.lit(SCORE_MARKER)), F.substring_index(tail, SCORE_MARKER, 1))
-    return F.coalesce(parse_number(piece), F.lit(FAILED_SCORE))
+    piece = F.substring_index(F.substring_index(result, SCORE_MARKER, -2), SCORE_MARKER, 1)
+    score = F.when(F.contains(result, F.lit(SCORE_MARKER)), parse_number(piece))
+    return F.coalesce(score, F.lit(FAILED_SCORE))
 
 
 def clean_result(result):

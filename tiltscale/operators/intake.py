@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tiltscale.fixed_values import NO_URL
+from tiltscale.functions.text import decoded
 from tiltscale.plans.profiles import SYNC
 from tiltscale.schemas import REQUEST_BODY
 
@@ -16,7 +17,7 @@ def _has(name):
     body = F.col("body")
     parsed = F.map_contains_key(F.from_json(body, "map<string,string>"), name)
     return (
-        F.when(F.col(f"data.{name}").isNotNull(), True)
+        F.when(F.col(name).isNotNull(), True)
         .when(~F.contains(body, F.lit(name)) & ~F.contains(body, F.lit("\\")), False)
         .otherwise(F.coalesce(parsed, F.lit(False)))
     )
@@ -28,22 +29,22 @@ def parse_requests(requests, profile=SYNC):
     Defaults stand in for keys that are absent, not for nulls.  ``status`` and
     ``error`` stay null while a request is still good.
     """
-    decoded = requests.select("request_id", "body", F.from_json("body", REQUEST_BODY).alias("data"))
-    url = F.col("data.url")
+    fields = requests.select("request_id", "body", decoded("body", REQUEST_BODY))
+    url = F.col("url")
     missing = ~_has("url")
     if profile.empty_url_is_missing:
         missing = missing | url.isNull() | (url == "")
 
-    model = F.col("data.model")
+    model = F.col("model")
     if profile.default_model is not None:
         model = F.when(~_has("model"), profile.default_model).otherwise(model)
     temperature = F.lit(profile.default_temperature)
     if profile.temperature_in_request:
-        temperature = F.when(~_has("temperature"), temperature).otherwise(F.col("data.temperature"))
+        temperature = F.when(~_has("temperature"), temperature).otherwise(F.col("temperature"))
 
-    return decoded.select(
+    return fields.select(
         "request_id",
-        url.alias("url"),
+        "url",
         model.alias("model"),
         temperature.cast("double").alias("temperature"),
         F.when(missing, 400).cast("int").alias("status"),

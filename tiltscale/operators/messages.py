@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tiltscale.functions.text import decoded
 from tiltscale.operators.rating import is_known_model
 from tiltscale.schemas import ARTICLE, RESULT
 
@@ -20,9 +21,9 @@ def to_result_messages(results):
     return results.select(_message("url", "model", "result", "score"))
 
 
-def _decoded(messages, schema):
-    text = F.col("value").cast("string")
-    return messages.withColumns({"value": text, "__data": F.from_json(text, schema)})
+def _with_fields(messages, schema, keep):
+    value = F.col("value").cast("string")
+    return messages.select(*keep, value.alias("value")).select(*keep, "value", decoded("value", schema))
 
 
 def _keys():
@@ -32,22 +33,18 @@ def _keys():
 
 def decode_articles(messages, *keep):
     """``[value]`` → ``[content, model, url]``; all null where it is no object."""
-    text = F.col("value").cast("string")
-    return messages.select(*keep, F.from_json(text, ARTICLE).alias("data")).select(*keep, "data.*")
+    return _with_fields(messages, ARTICLE, keep).drop("value")
 
 
 def article_rejects(messages, *keep):
     """Messages the rating stage leaves out: ``[value, reason]``."""
-    decoded = _decoded(messages, ARTICLE)
-    content, model = F.col("__data.content"), F.col("__data.model")
+    content, model = F.col("content"), F.col("model")
     empty = content.isNull() | (content == "") | model.isNull() | (model == "")
+    left_out = _with_fields(messages, ARTICLE, keep).where(empty | ~is_known_model(model))
     reason = (
-        F.when(~empty & is_known_model(model), None)
-        .when(~empty, "unknown model")
-        .when(_keys().isNull(), "malformed")
-        .otherwise("nothing to rate")
+        F.when(~empty, "unknown model").when(_keys().isNull(), "malformed").otherwise("nothing to rate")
     )
-    return decoded.select(*keep, "value", reason.alias("reason")).where("reason is not null")
+    return left_out.select(*keep, "value", reason.alias("reason"))
 
 
 def _has_all_keys(schema):
@@ -59,19 +56,18 @@ def _has_all_keys(schema):
     names = schema.fieldNames()
     filled = F.lit(True)
     for name in names:
-        filled = filled & F.col(f"__data.{name}").isNotNull()
+        filled = filled & F.col(name).isNotNull()
     present = F.size(F.array_intersect(_keys(), F.array(*map(F.lit, names)))) == len(names)
     return F.when(filled, True).otherwise(F.coalesce(present, F.lit(False)))
 
 
 def decode_results(messages, *keep):
     """``[value]`` → ``[url, model, result, score]`` of messages with all four keys."""
-    decoded = _decoded(messages, RESULT)
-    return decoded.where(_has_all_keys(RESULT)).select(*keep, "__data.*")
+    return _with_fields(messages, RESULT, keep).where(_has_all_keys(RESULT)).drop("value")
 
 
 def result_rejects(messages, *keep):
     """Result messages that lack a key or are no object: ``[value, reason]``."""
-    decoded = _decoded(messages, RESULT)
     reason = F.when(_keys().isNull(), "malformed").otherwise("missing key")
-    return decoded.where(~_has_all_keys(RESULT)).select(*keep, "value", reason.alias("reason"))
+    rejected = _with_fields(messages, RESULT, keep).where(~_has_all_keys(RESULT))
+    return rejected.select(*keep, "value", reason.alias("reason"))

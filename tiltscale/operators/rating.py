@@ -1,10 +1,10 @@
 """The rating step and the backends that can answer it.
 
 A backend is a function ``(df, measure) → DataFrame``.  It gets rows with at
-least ``url``, ``model``, ``prompt`` and ``options`` (JSON text) and adds
-``result`` and ``rating_error``, one of which is null.  Rows with a null prompt
-are passed through with both null, so one pass serves good and refused rows
-alike.  ``measure()`` gives the profile of the batch's URLs, without the work done
+least ``url``, ``model``, ``asked``, ``prompt`` and ``options`` (JSON text) and
+adds ``result`` and ``rating_error``, one of which is null.  Rows that are not
+``asked``, whose prompt is null, are passed through with both null, so one pass
+serves good and refused rows alike.  ``measure()`` gives the profile of the batch's URLs, without the work done
 on ``df`` since, to backends that join.
 """
 
@@ -49,15 +49,12 @@ def recorded(responses, unique=False):
         answers = answers.groupBy("url", "model").agg(F.min("result").alias("result"))
 
     def backend(df, measure):
-        # The flag goes through the join in place of the prompt, where nobody
-        # asks for that.
-        marked = df.withColumn("__asked", F.col("prompt").isNotNull())
         urls = None if df.isStreaming else measure()
-        found = lookup(marked, answers, ["url", "model"], profile=urls, measured=["url"])
+        found = lookup(df, answers, ["url", "model"], profile=urls, measured=["url"])
         return found.withColumns({
-            "result": F.when(F.col("__asked"), F.col("result")),
-            "rating_error": F.when(F.col("__asked") & F.col("result").isNull(), "no recorded answer"),
-        }).drop("__asked")
+            "result": F.when(F.col("asked"), F.col("result")),
+            "rating_error": F.when(F.col("asked") & F.col("result").isNull(), "no recorded answer"),
+        })
 
     return backend
 
@@ -67,7 +64,7 @@ def stub():
 
     def backend(df, measure):
         return df.withColumns({
-            "result": F.when(F.col("prompt").isNotNull(), STUB_RATING_TEXT),
+            "result": F.when(F.col("asked"), STUB_RATING_TEXT),
             "rating_error": F.lit(None).cast("string"),
         })
 
@@ -129,11 +126,13 @@ def rate(df, backend, template="detailed", streaming_options=False, when=None, a
     wanted = F.coalesce(when, F.lit(False)) if when is not None else F.lit(True)
     known = F.lit(True) if any_model else is_known_model(F.col("model"))
     temperature = F.col("temperature") if "temperature" in df.columns else F.lit(0.0)
+    asked = wanted & known & F.col("content").isNotNull()
     prepared = df.withColumns({
-        "prompt": F.when(wanted & known, build_prompt(F.col("content"), template)),
+        "asked": asked,
+        "prompt": F.when(asked, build_prompt(F.col("content"), template)),
         "options": F.to_json(model_options(F.col("model"), temperature, streaming_options)),
     })
-    rated = backend(prepared, measure or (lambda: profile_keys(df, ["url"]))).drop("options")
+    rated = backend(prepared, measure or (lambda: profile_keys(df, ["url"]))).drop("asked", "options")
     return rated.withColumn(
         "rating_error", F.when(wanted & ~known, UNKNOWN_MODEL).otherwise(F.col("rating_error"))
     )
