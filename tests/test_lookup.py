@@ -111,3 +111,44 @@ def test_broadcast_setting(spark, value, wanted):
 def test_only_small_inputs_are_spread(spark):
     assert spread_small_input(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 8
     assert spread_small_input(spark.range(0, 10, 1, 3)).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_hot_url_captured_very_often(spark, hot, no_broadcast, monkeypatch, share):
+    """A third of requests and of pages share one URL; every request gets its last capture."""
+    from tiltscale.operators import fetch
+    from tiltscale.plans.profiles import SYNC
+
+    monkeypatch.setattr(fetch, "_MOST_PAGES", share)
+    repeated = []
+    plain_lookup = fetch.lookup
+
+    def counting_lookup(left, right, keys, **more):
+        joined = plain_lookup(left, right, keys, **more)
+        if "content" in right.columns:
+            repeated.append(sum(-(-n // more["profile"].hot_floor) for _, n in more["profile"].hot))
+        return joined
+
+    monkeypatch.setattr(fetch, "lookup", counting_lookup)
+    url = F.when(F.col("id") % 3 == 0, "u").otherwise(F.concat(F.lit("u"), F.col("id")))
+    pages = spark.range(0, 900, 1, 4).select(
+        F.col("id").alias("page_id"), url.alias("url"), F.concat(F.lit("<p>"), F.col("id")).alias("html")
+    )
+    requests = spark.range(0, 1200, 1, 8).select(
+        F.col("id").alias("request_id"),
+        url.alias("url"),
+        F.lit("gpt").alias("model"),
+        F.lit(None).cast("int").alias("status"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    found = fetch.attach_articles(requests, pages, SYNC).collect()
+    assert len(found) == 1200
+    for row in found:
+        if row.request_id % 3 == 0:
+            wanted = ("897", None)  # the last of 300 captures
+        elif row.request_id < 900:
+            wanted = (str(row.request_id), None)
+        else:
+            wanted = (None, 500)
+        assert (row.content, row.status) == wanted
+    assert repeated == [8]  # 400 rows of the hot URL, 50 to a salt; one page repeated

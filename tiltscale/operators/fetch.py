@@ -1,12 +1,14 @@
 """Pages of requests, from a table of captured pages, and their article text."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tiltscale.fixed_values import INTERNAL_ERROR, NO_CONTENT, TIMED_OUT
 from tiltscale.functions.html_blocks import select_blocks
 from tiltscale.functions.source import block_class, block_element, identify_source
 from tiltscale.functions.text import article_text, is_blank
-from tiltscale.operators.lookup import broadcast_bytes, lookup, profile_keys, spread_small_input
+from tiltscale.operators.lookup import broadcast_bytes, key_hash, lookup, profile_keys, spread_small_input
 
 
 # From this share of wanted pages on, parsing all of them in place costs less
@@ -52,6 +54,20 @@ def _last_captures(pages):
     return pages.select("url", "page_id").groupBy("url").agg(F.max("page_id").alias("page_id"))
 
 
+def _profile_by_page(urls, last):
+    """The profile of the URLs as one of the pages they lead to.
+
+    A hot URL may have been captured very often; salts must repeat its last
+    capture only.  No more than the hot keys come to the driver.
+    """
+    if not urls.hot:
+        return urls
+    rows = dict(urls.hot)
+    url_hash = key_hash(["url"])
+    pages = last.where(url_hash.isin(*rows)).select(url_hash, key_hash(["page_id"])).collect()
+    return replace(urls, hot=tuple((page, rows[url]) for url, page in pages))
+
+
 def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls=None):
     """Requests with ``carried``, a column over the last capture of their URL.
 
@@ -71,9 +87,11 @@ def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls
     few = size <= broadcast_bytes(pages.sparkSession)
     outcome = _fetch_outcome(pages)
     if early is not None and not few and urls.keys >= _MOST_PAGES * pages.count():
-        placed = lookup(keyed, _last_captures(pages).withColumnRenamed("url", "__url"), ["__url"], profile=urls)
+        last = _last_captures(pages)
+        placed = lookup(keyed, last.withColumnRenamed("url", "__url"), ["__url"], profile=urls)
         reduced = pages.select(F.col("url").alias("__url"), "page_id", early, *outcome)
-        joined = lookup(placed, reduced, ["__url", "page_id"], profile=urls, measured=["__url"]).drop("page_id")
+        by_page = _profile_by_page(urls, last)
+        joined = lookup(placed, reduced, ["__url", "page_id"], profile=by_page, measured=["page_id"]).drop("page_id")
         return _mark_fetch(joined, profile).drop("__url", "fetched", "timed_out")
 
     wanted = (

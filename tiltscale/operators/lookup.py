@@ -40,7 +40,7 @@ def _no_nulls(keys):
     return test
 
 
-def _key_hash(keys):
+def key_hash(keys):
     """Hash of a key; null without one.  Equal keys have equal hashes on both sides."""
     return F.when(_no_nulls(keys), F.xxhash64(*keys))
 
@@ -56,7 +56,7 @@ def profile_keys(df, keys):
     for key in keys:
         length = length + F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0))
     counts = (
-        df.select(_key_hash(keys).alias("h"), length.alias("size"))
+        df.select(key_hash(keys).alias("h"), length.alias("size"))
         .groupBy("h")
         .agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     )
@@ -85,13 +85,13 @@ def broadcast_bytes(spark):
 
 
 def lookup(left, right, keys, how="left", profile=None, measured=None):
-    """Join ``left`` to ``right``, which has few rows per key.
+    """Join ``left`` to ``right``, which has one row per key.
 
     Rows of a hot key, and rows without a key, are spread over salts; the right
     rows of hot keys are repeated once per salt, at most 2 / HOT_SHARE times in
     all.  The salt comes from the input partition, so copies of one row are spread
     as well and a retried task repeats its salts.  ``profile`` may have been taken
-    of part of the keys, ``measured``.  A streaming ``left`` is joined as it is:
+    of part of the keys, ``measured``, of which ``right`` then has few rows each.  A streaming ``left`` is joined as it is:
     its micro-batches are bounded by the source.
     """
     keys = list(keys)
@@ -102,12 +102,12 @@ def lookup(left, right, keys, how="left", profile=None, measured=None):
     if not profile.skewed:
         return left.join(right, keys, how)
 
-    rows = [(key_hash, -(-n // profile.hot_floor)) for key_hash, n in profile.hot]
+    rows = [(hashed, -(-n // profile.hot_floor)) for hashed, n in profile.hot]
     # Bounded by 1 / HOT_SHARE rows of two numbers, so broadcast whatever the setting.
     hot = F.broadcast(left.sparkSession.createDataFrame(rows, "__hash long, __salts int"))
 
     def with_salts(df):
-        hashed = df.withColumn("__hash", _key_hash(measured))
+        hashed = df.withColumn("__hash", key_hash(measured))
         return hashed.join(hot, "__hash", "left").drop("__hash")
 
     salts = F.when(_no_nulls(measured), F.coalesce("__salts", F.lit(1))).otherwise(int(1 / HOT_SHARE))

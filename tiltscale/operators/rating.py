@@ -44,7 +44,8 @@ def recorded(responses, unique=False):
     (``primary_key_violations``) and saves that step, once per micro-batch in a
     stream.
     """
-    answers = responses.select("url", "model", "result")
+    # Only known models are asked, so a URL has no more answers than there are of those.
+    answers = responses.select("url", "model", "result").where(is_known_model(F.col("model")))
     if not unique:
         answers = answers.groupBy("url", "model").agg(F.min("result").alias("result"))
 
