@@ -25,7 +25,7 @@ HEADLINE = [
     "sync_answers",
     "async_outcomes",
     "end_to_end",
-    "parse_scores",
+    "parse_score",
     "prompt_detailed",
     "rate_recorded",
     "rate_called",

@@ -46,7 +46,7 @@ def test_html_is_read_once_and_parsed_once(spark, no_broadcast, name):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("name", ["parse_scores", "prompt_brief", "rateable", "decode_results", "model_options"])
+@pytest.mark.parametrize("name", ["parse_score", "prompt_brief", "rateable", "decode_results", "model_options"])
 def test_column_work_needs_no_python_and_no_shuffle(spark, name):
     plan = plan_of(entry.queries()[name](spark, FOLDER))
     assert "Python" not in plan and "Exchange" not in plan

@@ -8,7 +8,16 @@ import pytest
 from tiltscale.fixed_values import ARTICLES_TOPIC
 from tiltscale.operators.messages import decode_results
 from tiltscale.operators.rating import called, recorded, stub
-from tiltscale.sources.messages import kafka_options, publish, publish_stream, read_messages, read_messages_batch
+from tiltscale.sources.messages import (
+    kafka_options,
+    kafka_sink_options,
+    publish,
+    publish_stream,
+    read_articles,
+    read_messages,
+    read_messages_batch,
+    read_results,
+)
 from tiltscale.sources.sinks import append_results, write_once
 from tiltscale.streaming import jobs
 
@@ -161,16 +170,28 @@ def test_batch_files(spark, tmp_path):
 
 
 def test_kafka_options():
-    options = kafka_options("host:1", ARTICLES_TOPIC, maxOffsetsPerTrigger="5", failOnDataLoss="false")
+    options = kafka_options("host:1", ARTICLES_TOPIC, "group", maxOffsetsPerTrigger="5", failOnDataLoss="false")
     assert options == {
         "kafka.bootstrap.servers": "host:1",
         "subscribe": "news_articles",
+        "groupIdPrefix": "group",
         "startingOffsets": "earliest",
         "maxOffsetsPerTrigger": "5",
         "failOnDataLoss": "false",
     }
 
 
+def test_kafka_sink_options():
+    assert kafka_sink_options("host:1", "t") == {"kafka.bootstrap.servers": "host:1", "topic": "t"}
+
+
+@pytest.mark.parametrize("read", [read_articles, read_results])
+def test_sources_read_files_as_they_read_topics(spark, tmp_path, read):
+    write_lines(str(tmp_path / "in"), "a", FIRST)
+    source = read(spark, fmt="text", path=str(tmp_path / "in"))
+    assert source.isStreaming and source.columns == ["value"]
+
+
 def test_publishing_needs_a_checkpoint(spark, tmp_path):
     write_lines(str(tmp_path / "in"), "a", FIRST)
     source = read_messages(spark, "text", str(tmp_path / "in"))

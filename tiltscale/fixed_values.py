@@ -42,6 +42,7 @@ CONTAINER_CLASSES = {
 # Topic and consumer-group names.
 ARTICLES_TOPIC = "news_articles"
 RESULTS_TOPIC = "processed_news_results"
+ARTICLES_GROUP = "article_processing"
 RESULTS_GROUP = "rated_articles"
 
 # --- answers ----------------------------------------------------------------

@@ -25,12 +25,22 @@ from tiltscale.streaming import jobs
 QUERIES = {}
 
 
-def _query(function):
-    def run(spark, folder):
-        return function(bound_arrow_batches(spark), folder)
+def _named(name):
+    """Register a query under ``name``."""
+
+    def register(function):
+        def run(spark, folder):
+            return function(bound_arrow_batches(spark), folder)
+
+        QUERIES[name] = run
+        return function
 
-    QUERIES[function.__name__] = run
-    return function
+    return register
+
+
+def _query(function):
+    """Register a query under its own name."""
+    return _named(function.__name__)(function)
 
 
 def _table(spark, folder, name):
@@ -86,13 +96,13 @@ def request_intake_legacy(spark, folder):
     return parse_requests(_requests(spark, folder), LEGACY_SYNC)
 
 
-@_query
-def identify_sources(spark, folder):
+@_named("identify_source")
+def sources(spark, folder):
     return _web(spark, folder).select("page_id", "url", identify_source(F.col("url")).alias("source"))
 
 
-@_query
-def identify_sources_strict(spark, folder):
+@_named("identify_source_strict")
+def strict_sources(spark, folder):
     return _web(spark, folder).select("page_id", "url", identify_source(F.col("url"), strict_www=True).alias("source"))
 
 
@@ -177,19 +187,19 @@ def rateable(spark, folder):
     return rating.rateable(_articles(spark, folder))
 
 
-def _prompt_query(template):
+def _prompt_query(name, template):
+    @_named(name)
     def prompt(spark, folder):
         text = build_prompt(F.col("content"), template)
         return rating.rateable(_articles(spark, folder)).select(
             "doc_id", F.md5(text).alias("prompt_md5"), F.length(text).cast("long").alias("prompt_length")
         )
 
-    prompt.__name__ = f"prompt_{template}"
-    return _query(prompt)
-
 
-for _template in ("detailed", "detailed_legacy", "brief", "strict_format"):
-    _prompt_query(_template)
+_prompt_query("prompt_detailed", "detailed")
+_prompt_query("prompt_detailed_legacy", "detailed_legacy")
+_prompt_query("prompt_brief", "brief")
+_prompt_query("prompt_strict", "strict_format")
 
 
 @_query
@@ -225,45 +235,55 @@ def rate_called(spark, folder):
 
 
 def _options_query(name, streaming):
+    @_named(name)
     def options(spark, folder):
         temperature = (F.col("doc_id") % 3 / 2).cast("double")
         return _articles(spark, folder).select(
             "doc_id", "model", model_options(F.col("model"), temperature, streaming).alias("options")
         ).select("doc_id", "model", "options.*")
 
-    options.__name__ = name
-    return _query(options)
-
 
 _options_query("model_options", streaming=False)
 _options_query("model_options_stream", streaming=True)
 
 
-@_query
-def parse_scores(spark, folder):
+@_named("parse_score")
+def scores(spark, folder):
     return _responses(spark, folder).select("url", "model", parse_score(F.col("result")).alias("score"))
 
 
-@_query
-def clean_results(spark, folder):
+@_named("clean_result")
+def cleaned(spark, folder):
     return _responses(spark, folder).select("url", "model", clean_result(F.col("result")).alias("result"))
 
 
 # --- outcomes -------------------------------------------------------------------
 
 def _answers_query(name, profile):
+    @_named(name)
     def answered(spark, folder):
         backend = rating.recorded(_page_responses(spark, folder))
         return plans.answers(_requests(spark, folder), _web(spark, folder), backend, profile)
 
-    answered.__name__ = name
-    return _query(answered)
-
 
 _answers_query("sync_answers", SYNC)
 _answers_query("legacy_sync_answers", LEGACY_SYNC)
 
 
+def _routed_query(name, part):
+    """Rated once into a table, from which answers and refusals branch."""
+
+    @_named(name)
+    def routed(spark, folder):
+        backend = rating.recorded(_page_responses(spark, folder))
+        answered = plans.answers(_requests(spark, folder), _web(spark, folder), backend, SYNC)
+        return plans.route(write_once(answered, f"{_new_folder(spark)}/outcomes"))[part]
+
+
+_routed_query("outcome_answers", 0)
+_routed_query("outcome_errors", 1)
+
+
 @_query
 def response_bodies(spark, folder):
     backend = rating.recorded(_page_responses(spark, folder))
@@ -275,13 +295,11 @@ def response_bodies(spark, folder):
 
 
 def _acknowledgements_query(name, profile):
+    @_named(name)
     def outcomes(spark, folder):
         scraped = plans.scrape(_requests(spark, folder), _web(spark, folder), profile)
         return plans.acknowledgements(scraped, profile)
 
-    outcomes.__name__ = name
-    return _query(outcomes)
-
 
 _acknowledgements_query("async_outcomes", ASYNC)
 _acknowledgements_query("legacy_async_outcomes", LEGACY_ASYNC)
@@ -309,8 +327,8 @@ def end_to_end(spark, folder):
 
 # --- tables ---------------------------------------------------------------------
 
-@_query
-def stored_results(spark, folder):
+@_named("append_results")
+def appended(spark, folder):
     """Result messages appended to a table, in two goes."""
     path = f"{_new_folder(spark)}/results"
     decoded = messages.decode_results(_result_messages(spark, folder), "doc_id")

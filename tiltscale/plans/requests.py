@@ -63,6 +63,15 @@ def acknowledgements(scraped, profile=ASYNC):
     return scraped.select(*columns, "error")
 
 
+def route(outcomes):
+    """Outcomes as (answers, errors), every request in exactly one of them.
+
+    Both read ``outcomes``, so give it a written table, not the work itself.
+    """
+    refused = F.col("error").isNotNull()
+    return outcomes.where(~refused).drop("error"), outcomes.where(refused).select("request_id", "status", "error")
+
+
 def response_body(outcomes):
     """The JSON body each request is answered with, beside its id and status."""
     names = [name for name in ("message", "source", "result", "score") if name in outcomes.columns]

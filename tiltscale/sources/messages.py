@@ -1,6 +1,6 @@
 """Where messages come from and go to: Kafka, or files with one message a line."""
 
-from tiltscale.fixed_values import ARTICLES_TOPIC, RESULTS_TOPIC
+from tiltscale.fixed_values import ARTICLES_GROUP, ARTICLES_TOPIC, RESULTS_GROUP, RESULTS_TOPIC
 
 # A micro-batch is bounded at the source, so that a backlog, or one key in it,
 # never has to be worked off in one go.
@@ -8,17 +8,27 @@ _KAFKA_BATCH = {"maxOffsetsPerTrigger": "1000000"}
 _FILE_BATCH = {"maxFilesPerTrigger": "1000"}
 
 
-def kafka_options(servers, topic, **more):
-    """Source options for one topic, from its earliest message on."""
+def kafka_options(servers, topic, group, **more):
+    """Source options for one topic, from its earliest message on.
+
+    ``group`` prefixes the consumer groups that Spark makes; the position itself
+    is in the query's checkpoint.
+    """
     return {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
+        "groupIdPrefix": group,
         "startingOffsets": "earliest",
         **_KAFKA_BATCH,
         **more,
     }
 
 
+def kafka_sink_options(servers, topic, **more):
+    """Sink options for one topic."""
+    return {"kafka.bootstrap.servers": servers, "topic": topic, **more}
+
+
 def read_messages(spark, fmt="kafka", path=None, **options):
     """Streaming ``[value]`` from Kafka (``kafka_options``) or a folder of text files.
 
@@ -38,14 +48,14 @@ def read_messages_batch(spark, fmt="text", path=None, **options):
 def read_articles(spark, servers=None, fmt="kafka", path=None, **options):
     """Article messages; see ``read_messages``."""
     if fmt == "kafka":
-        options = kafka_options(servers, ARTICLES_TOPIC, **options)
+        options = kafka_options(servers, ARTICLES_TOPIC, ARTICLES_GROUP, **options)
     return read_messages(spark, fmt, path, **options)
 
 
 def read_results(spark, servers=None, fmt="kafka", path=None, **options):
     """Result messages; see ``read_messages``."""
     if fmt == "kafka":
-        options = kafka_options(servers, RESULTS_TOPIC, **options)
+        options = kafka_options(servers, RESULTS_TOPIC, RESULTS_GROUP, **options)
     return read_messages(spark, fmt, path, **options)
 
 
