@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 # Below this many rows for the hottest key one task copes with it.
 HOT_MIN_ROWS = 100_000
+# An input of at most this many bytes per core is small.
+SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
 # Java object overhead of one broadcast key, added to the bytes of its text.
 _KEY_OVERHEAD = 64
 
@@ -119,13 +121,14 @@ def lookup(left, right, keys, how="left", profile=None, measured=None):
 
 
 def spread_small_input(df):
-    """Give a batch input of few files one partition per core.
+    """Give a small batch input one partition per core.
 
-    Parsing is bound by CPU, and a small table is often one file, so one task.
-    A table with splits for a quarter of the cores is returned as it is: shuffling
-    its HTML would cost more than the waiting cores.
+    Parsing is bound by CPU, and a small table is often one file, so one task.  The
+    size is the optimizer's estimate, so nothing runs to get it; a table past it is
+    returned as it is, as it has splits enough.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * SMALL_BYTES_PER_CORE else df

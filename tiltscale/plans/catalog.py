@@ -126,7 +126,8 @@ def blocks_p(spark, folder):
 
 @_query
 def blocks_div(spark, folder):
-    blocks = extract_blocks(_web(spark, folder).where("page_id % 8 in (0, 1)"))
+    """Blocks by source: class selectors where the publisher has one."""
+    blocks = extract_blocks(_web(spark, folder))
     return blocks.select("page_id", "source", F.posexplode("blocks").alias("block_no", "block_text"))
 
 
