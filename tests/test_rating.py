@@ -98,6 +98,13 @@ def test_client_is_made_once_per_task(spark):
     assert max(counts) == 250  # one client saw a whole partition, over several batches
 
 
+def test_calls_are_spread_over_the_partitions_asked_for(spark, echo_client):
+    df = spark.createDataFrame([("c", "gpt", str(i)) for i in range(90)], ARTICLE).coalesce(1)
+    rated = rate(df, called(echo_client, partitions=6))
+    assert rated.rdd.getNumPartitions() == 6
+    assert rated.where("result is not null").count() == 90
+
+
 def test_rate_articles(spark, echo_client):
     rows = [("fine", "gpt", "1"), ("boom", "gpt", "2"), ("", "gpt", "3"), ("c", "other", "4"), ("c", None, "5")]
     df = spark.createDataFrame(rows, ARTICLE)

@@ -72,14 +72,14 @@ def stub():
     return backend
 
 
-def called(make_client, calls_in_flight=1):
+def called(make_client, calls_in_flight=1, partitions=None):
     """Answers of ``make_client()(prompt, options)``, called on the executors.
 
     ``make_client`` runs once per task, so connections are reused for all of a
     partition.  ``options`` is a dict with the provider's settings.  An exception
     concerns its own row only.  ``calls_in_flight`` threads per task overlap
-    waiting; the number of partitions times that is the load on the provider,
-    and ``df.repartition(n)`` before the call limits it.
+    waiting.  ``partitions`` spreads the rows over that many tasks, whatever the
+    step before left; times ``calls_in_flight`` it is the most calls at once.
 
     A retried task repeats its calls: write the rated rows to a table and branch
     from there rather than use the returned DataFrame twice.
@@ -111,7 +111,8 @@ def called(make_client, calls_in_flight=1):
                         names=[*batch.schema.names, "result", "rating_error"],
                     )
 
-        return df.mapInArrow(rate_batches, schema)
+        spread = df.repartition(partitions) if partitions else df
+        return spread.mapInArrow(rate_batches, schema)
 
     return backend
 

@@ -78,7 +78,11 @@ def intake_job(requests, pages, checkpoint, folder, publish, profile=ASYNC, trig
 
     def scrape_batch(batch, batch_id):
         scraped_path = f"{folder}/scraped/batch={batch_id}"
-        scrape(batch, pages, profile).write.mode("overwrite").parquet(scraped_path)
+        batch.persist()  # read for its keys first, then for the work
+        try:
+            scrape(batch, pages, profile).write.mode("overwrite").parquet(scraped_path)
+        finally:
+            batch.unpersist()
         scraped = batch.sparkSession.read.parquet(scraped_path)
         publish(to_article_messages(accepted_articles(scraped)), batch_id)
         acknowledgements(scraped, profile).write.mode("overwrite").parquet(
