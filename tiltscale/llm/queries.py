@@ -2,10 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from tiltscale.llm import hilbert, packing, token_store
+from tiltscale.llm import hilbert, language_id, near_dup, packing, pii, token_store
 from tiltscale.llm.common import scratch, table
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -17,14 +25,21 @@ def op6_hilbert_sharding(spark, sf_dir):
     )
 
 
+def op7_minhash_near_dedup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op8_token_store(spark, sf_dir):
     path = token_store.write_store(table(spark, sf_dir, "documents"), scratch(spark, "store"))
     return token_store.read_back(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_hilbert_sharding": op6_hilbert_sharding,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_token_store": op8_token_store,
 }
 
