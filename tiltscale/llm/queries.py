@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tiltscale.llm import ann, hilbert, language_id, metric_topk, near_dup, packing, pii, token_store
+from tiltscale.llm import ann, hilbert, language_id, licenses, metric_topk, near_dup, packing, pii, segmentation, token_store
 from tiltscale.llm.common import scratch, table
 
 
@@ -22,6 +22,10 @@ def op4_multi_index_hashing(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, is_query="vec_id % 50 = 0")
 
 
+def op5_nbest_segmentation(spark, sf_dir):
+    return segmentation.segment(table(spark, sf_dir, "documents"))
+
+
 def op6_hilbert_sharding(spark, sf_dir):
     return hilbert.shard_by_curve(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -38,6 +42,10 @@ def op8_token_store(spark, sf_dir):
     return token_store.read_back(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_license_alignment(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_metric_tree_topk(spark, sf_dir):
     return metric_topk.top_products(table(spark, sf_dir, "embeddings"), k=5, is_query="vec_id % 50 = 0", scale=256)
 
@@ -47,9 +55,11 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_multi_index_hashing": op4_multi_index_hashing,
+    "op5_nbest_segmentation": op5_nbest_segmentation,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_token_store": op8_token_store,
+    "op9_license_alignment": op9_license_alignment,
     "op10_metric_tree_topk": op10_metric_tree_topk,
 }
 
