@@ -209,6 +209,24 @@ def identify(docs, model, text="text"):
     return docs.select(*names, text).mapInArrow(judge, schema)
 
 
+def accepted(docs, model, most=MOST_PHRASES, text="text"):
+    """Rows of ``docs`` in a language the model knows, as they are.
+
+    Rejected are texts that are ``und``, and those that take over ``most`` phrases per letter
+    in every language: words of none of them.
+    """
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    place = docs.columns.index(text)
+
+    def keep(batches):
+        parser = _parser_of(key, shared)
+        for batch in batches:
+            judged = (parser.judge(t.as_py()) for t in batch.column(place))
+            yield batch.filter(pa.array([lang != UNDETERMINED and phrases <= most for lang, _, phrases in judged], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def learn_and_identify(docs):
     """``[doc_id, held_out, lang_pred, score, phrases]``, learned from documents not held out."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))

@@ -108,23 +108,24 @@ def _set_id(hashes):
 
 
 def sets_of(docs, k, key="doc_id", text="text"):
-    """``[doc_id, n_shingles, set_id, postings]``; no postings and no id for an empty set."""
+    """``[doc_id, text_hash, n_shingles, set_id, postings]``; no postings and no id for an empty set."""
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("postings", pa.list_(pa.int64())),
+        ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()),
+        ("postings", pa.list_(pa.int64())),
     ])
 
     def hashed(batches):
         for batch in batches:
             rows = []
-            for doc, words in zip(batch.column(0), batch.column(1)):
+            for doc, text_hash, words in zip(*batch.columns):
                 own = shingle_set(words.as_py(), k, _worker_words())
                 full = len(own) > 0
-                rows.append((doc.as_py(), len(own), _set_id(own) if full else None, signature(own) if full else None))
-            columns = list(zip(*rows)) or [[]] * 4
+                rows.append((doc.as_py(), text_hash.as_py(), len(own), _set_id(own) if full else None, signature(own) if full else None))
+            columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(hashed, "doc_id long, n_shingles long, set_id binary, postings array<long>")
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return slim.mapInArrow(hashed, "doc_id long, text_hash long, n_shingles long, set_id binary, postings array<long>")
 
 
 def _prefixes(classes):
@@ -262,16 +263,8 @@ def _class_sets(docs, wanted, k, key, text):
     return read.dropDuplicates(["cid"])
 
 
-def near_duplicates(docs, k=5, percent=80, key="doc_id", text="text"):
-    """``[doc_id, n_shingles, component_id, kept]``, a row per row of ``docs``.
-
-    Documents are linked when ``100 * common >= percent * union`` of their sets of distinct
-    ``k``-word shingles; ``component_id`` is the least doc_id that links lead to, the
-    document's own included, and ``kept`` says that it is the document's own.  An empty set
-    (null, or no words) is linked with nothing.  A null doc_id is the least of nothing: it
-    keeps its row only in a component without any id.
-    """
-    spark = docs.sparkSession
+def _grouped(docs, k, percent, key, text):
+    """Rows of ``sets_of``, and ``[set_id, comp]``: sets by the group that links lead to."""
     rows = written(sets_of(docs, k, key, text), "rows")
     # A copy of a set adds an id to its class and nothing to what follows.
     classes = (
@@ -307,7 +300,19 @@ def near_duplicates(docs, k=5, percent=80, key="doc_id", text="text"):
     if residue.limit(1).count():
         comps = components(links.union(_confirmed(residue, sets, percent)))
 
-    placed = classes.join(comps, "cid", "left").select("set_id", "doc_id", F.coalesce("comp", "cid").alias("comp"))
+    return rows, classes.join(comps, "cid", "left").select("set_id", "doc_id", F.coalesce("comp", "cid").alias("comp"))
+
+
+def near_duplicates(docs, k=5, percent=80, key="doc_id", text="text"):
+    """``[doc_id, n_shingles, component_id, kept]``, a row per row of ``docs``.
+
+    Documents are linked when ``100 * common >= percent * union`` of their sets of distinct
+    ``k``-word shingles; ``component_id`` is the least doc_id that links lead to, the
+    document's own included, and ``kept`` says that it is the document's own.  An empty set
+    (null, or no words) is linked with nothing.  A null doc_id is the least of nothing: it
+    keeps its row only in a component without any id.
+    """
+    rows, placed = _grouped(docs, k, percent, key, text)
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_set = placed.join(least, "comp").select("set_id", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
@@ -315,3 +320,29 @@ def near_duplicates(docs, k=5, percent=80, key="doc_id", text="text"):
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def without_duplicates(docs, k=5, percent=80, key="doc_id", text="text"):
+    """Rows of ``docs``, one of each group: that of the least doc_id, a null one last.
+
+    Of rows that share it, that of the least hash of the text; of equal rows, one.  Rows
+    with an empty set all stay.
+    """
+    rows, placed = _grouped(docs, k, percent, key, text)
+    full = rows.where(F.col("set_id").isNotNull()).select("doc_id", "text_hash", "set_id")
+    # A null doc_id comes behind every other.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    # Sets come together first, then groups: copies are gone before anything is shuffled twice.
+    first = full.groupBy("set_id").agg(F.min(order).alias("x"))
+    best = first.join(placed.select("set_id", "comp"), "set_id").groupBy("comp").agg(F.min("x").alias("x"))
+    empty = rows.where(F.col("set_id").isNull()).select("doc_id", "text_hash").distinct()
+    stay = best.select("x.doc_id", "x.text_hash", F.lit(True).alias("one")).union(empty.withColumn("one", F.lit(False)))
+    stay = written(stay, "stay").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("one").alias("__one"))
+    same = F.col(key).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__hash"))
+    kept = docs.join(stay, same)
+    # Only a table that holds a row more than once has its rows numbered.
+    twins = rows.where(F.col("set_id").isNotNull()).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    if twins.where("n > 1").limit(1).count():
+        number = F.row_number().over(Window.partitionBy("__doc", "__hash").orderBy("__one"))
+        kept = kept.withColumn("__n", number).where(~F.col("__one") | (F.col("__n") == 1))
+    return kept.select(*docs.columns)
