@@ -70,9 +70,9 @@ def quantised(df, dimensions, bits=BITS):
     cuts = numbers.agg(*[F.percentile_approx(name, shares, 1000).alias(name) for name in dimensions]).first()
     cells = []
     for name in dimensions:
-        own = sorted(set(cuts[name] or []))
+        own = cuts[name] or []
         number = _as_number(df, name)
-        # A cell is the number of cuts at or below the value.
+        # A cell is the number of cuts at or below the value; a frequent value takes up several.
         cell = F.size(F.filter(F.array(*map(F.lit, own)), lambda c, v=number: c <= v)) if own else F.lit(0)
         cells.append(F.when(F.col(name).isNull(), 0).otherwise(cell).cast("int").alias(f"cell_{name}"))
     return cells
