@@ -183,8 +183,14 @@ class Pieces:
         edges, forward = self._edges(text)
         # A path is its first piece and the path behind it.
         queue, count, found = [(-forward[-1], len(text), 0, 0.0, None)], 0, []
+        # Ways to the end come out of a position best first, so more than ``n_best`` of them
+        # are never needed; without that, ties could be explored without end.
+        taken = {}
         while queue and len(found) < self.n_best:
             _, at, _, behind, path = heapq.heappop(queue)
+            taken[at] = taken.get(at, 0) + 1
+            if taken[at] > self.n_best:
+                continue
             if at == 0:
                 ids = []
                 while path is not None:
