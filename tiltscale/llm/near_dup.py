@@ -32,7 +32,7 @@ COORDINATES = 32
 MATCHES = 15
 PREFIX = COORDINATES - MATCHES + 1
 # Posting lists of up to so many classes give all their pairs.
-SHORT_LIST = 12
+SHORT_LIST = 6
 # Classes of a long list that are compared with one another in one task.
 BLOCK = 1_000
 
@@ -216,32 +216,54 @@ def _between(pairs, comps):
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _list_residue(long_lists, comps, classes):
-    """Candidate pairs of different components inside long lists, compared block by block."""
+def _list_residue(long_lists, comps, classes, sets, percent):
+    """Links ``[a, b]`` between components, found inside long lists, compared block by block.
+
+    Nothing but links leaves a task, and no more of them than it takes to join what they
+    join.  Two classes may share many lists; they are compared in the one whose coordinate
+    comes first among those that are in the prefix of both.
+    """
     member = long_lists.join(comps, "cid", "left").select("token", "cid", F.coalesce("comp", "cid").alias("comp"))
     split = member.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     split = split.where("lo <> hi").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = member.join(split, "token").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.join(classes.select("cid", "postings"), "cid")
+    posted = long_lists.groupBy("cid").agg(F.collect_set("token").alias("first"))
+    rows = rows.join(classes.select("cid", "postings"), "cid").join(posted, "cid").join(sets.withColumnRenamed("own", "hashes"), "cid")
     # A class goes to the groups of its block with every block, the lower number first.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("other", other).select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "postings"
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "postings", "first", "hashes"
     )
 
     def compare(df):
-        i, j = df["i"].iat[0], df["j"].iat[0]
+        token, i, j = df["token"].iat[0], df["i"].iat[0], df["j"].iat[0]
+        own, cid, comp = (df[c].to_numpy().copy() for c in ("own", "cid", "comp"))
         post = np.stack(df["postings"].to_numpy())
-        own, cid, comp = (df[c].to_numpy() for c in ("own", "cid", "comp"))
+        prefix = np.stack([np.isin(p, f) for p, f in zip(post, df["first"])])
+        full = [_padded(np.frombuffer(h, "V6")) for h in df["hashes"]]
+        sizes = np.array([len(f) for f in full])
+        # Hashes by bucket: two sets have no more in common than the lesser counts add up to.
+        buckets = min(4096, 1 << int(2 * sizes.max()).bit_length())
+        counts = np.stack([np.bincount((f % np.uint64(buckets)).astype(np.int64), minlength=buckets) for f in full]).astype(np.uint16)
         left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
         for at in left:
             near = right[comp[right] != comp[at]]
-            hits = (post[near] == post[at]).sum(axis=1)
-            for r in near[hits >= MATCHES]:
-                found.append((min(cid[at], cid[r]), max(cid[at], cid[r])))
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+            fits = np.minimum(sizes[near], sizes[at]) * 100 >= percent * np.maximum(sizes[near], sizes[at])
+            near = near[fits]
+            equal = post[near] == post[at]
+            both = equal & prefix[near] & prefix[at]
+            here = post[at][both.argmax(axis=1)] == token
+            near = near[(equal.sum(axis=1) >= MATCHES) & here]
+            most = np.minimum(counts[near], counts[at]).sum(axis=1, dtype=np.int64)
+            for r in near[100 * most >= percent * (sizes[near] + sizes[at] - most)].tolist():
+                if comp[r] != comp[at]:
+                    common = len(np.intersect1d(full[at], full[r], assume_unique=True))
+                    if 100 * common >= percent * (sizes[at] + sizes[r] - common):
+                        found.append((min(cid[at], cid[r]), max(cid[at], cid[r])))
+                        comp[comp == comp[r]] = comp[at]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _class_sets(docs, wanted, k, key, text):
@@ -296,9 +318,9 @@ def _grouped(docs, k, percent, key, text):
     comps = components(links)
     links = written(links.union(_confirmed(_between(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comps), sets, percent)), "links")
     comps = components(links)
-    residue = written(_between(_list_residue(long_lists, comps, classes), comps).join(pairs, ["a", "b"], "left_anti"), "residue")
+    residue = written(_list_residue(long_lists, comps, classes, sets, percent), "residue")
     if residue.limit(1).count():
-        comps = components(links.union(_confirmed(residue, sets, percent)))
+        comps = components(links.union(residue))
 
     return rows, classes.join(comps, "cid", "left").select("set_id", "doc_id", F.coalesce("comp", "cid").alias("comp"))
 
