@@ -71,12 +71,12 @@ def test_tree_with_ties_and_equal_vectors():
     x = np.vstack([np.tile([3.0, 4.0, 0.0], (500, 1)), rng.integers(-4, 5, (700, 3)).astype(float)])
     top = (x * x).sum(axis=1).max()
     tree = metric_topk.Tree(np.hstack([x, np.sqrt(np.maximum(0, top - (x * x).sum(axis=1)))[:, None]]), page=16)
-    ids = rng.permutation(len(x))
+    assert sorted(tree.order) == list(range(len(x)))
+    ids, own = rng.permutation(len(x)), x[tree.order]
     for q in rng.integers(-4, 5, (40, 3)).astype(float):
         allowed = rng.random(len(x)) < 0.9
-        scores = (x @ q).astype(np.int64)
-        found = tree.search(np.append(q, 0), 5, lambda r, s=scores: s[r], allowed)
-        want = sorted(((-scores[i], ids[i]) for i in np.flatnonzero(allowed)))[:5]
+        found = tree.search(np.append(q, 0), 5, lambda at, q=q: own[at] @ q, lambda s, q=q: np.sqrt(max(0, q @ q + top - 2 * s)), allowed)
+        want = sorted((-(own[i] @ q), ids[i]) for i in np.flatnonzero(allowed))[:5]
         assert sorted((-s, ids[i]) for s, i in found)[:5] == want
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tiltscale.llm.vectors import best, in_blocks, usable
 
-PAGE = 64
+PAGE = 256
 # Room for rounding in distances; bounds are widened by it, so that it costs no result.
 _SLACK = 1e-6
 
@@ -27,9 +27,11 @@ class Tree:
 
     def __init__(self, points, page=PAGE):
         self.points, self.page = points, page
-        self.pages = []
+        # Rows in the order of the leaves, so that a leaf is a slice of them.
+        self.pages, self.leaves, self.loaded = [], [], 0
         everything = np.arange(len(points))
-        self.root = self._load(everything, int(everything[0]))
+        self.root = self._load(everything, 0)
+        self.order = np.concatenate(self.leaves)
 
     def _apart(self, rows, centre):
         gap = self.points[rows] - self.points[centre]
@@ -38,13 +40,15 @@ class Tree:
     def _load(self, rows, centre):
         """Page for ``rows`` under a routing vector; its number.
 
-        A leaf holds rows; an inner page holds routing vectors, radii and pages.  Both hold
-        the distances to ``centre``.
+        A leaf holds a slice of ``order``; an inner page holds routing vectors, radii and
+        pages.  Both hold the distances to ``centre``.
         """
         number = len(self.pages)
         self.pages.append(None)
         if len(rows) <= self.page:
-            self.pages[number] = (True, rows, self._apart(rows, centre), None, None)
+            self.pages[number] = (True, self.loaded, self._apart(rows, centre), None, None)
+            self.leaves.append(rows)
+            self.loaded += len(rows)
             return number
         count = min(self.page, -(-len(rows) // self.page))
         # Spread routing vectors: each is the row farthest from those before.
@@ -72,19 +76,20 @@ class Tree:
         self.pages[number] = (False, centres, self._apart(centres, centre), np.array(radii), children)
         return number
 
-    def search(self, query, k, score, allowed):
-        """The ``k`` rows of the highest ``score(rows)`` among ``allowed``; ``query`` is in the tree's space.
+    def search(self, query, k, score, distance, allowed):
+        """The ``k`` best places of ``order``, with those that tie with the last: ``[(score, place)]``.
 
-        Returns ``[(score, row)]``.  Of rows equal in score to the last, all are kept.
+        ``query`` is in the tree's space.  ``score`` takes a slice or an array of places,
+        ``distance`` gives the distance that a score stands for, and ``allowed`` marks places
+        that may be found.
         """
-        found, worst = [], np.inf
+        found, last, worst = [], -np.inf, np.inf
 
         def to_query(rows):
             gap = self.points[rows] - query
             return np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
-        start = float(to_query(np.array([0]))[0])
-        queue = [(0.0, self.root, start)]
+        queue = [(0.0, self.root, float(to_query(np.array([0]))[0]))]
         while queue:
             bound, number, above = heapq.heappop(queue)
             if bound > worst + _SLACK:
@@ -92,15 +97,21 @@ class Tree:
             leaf, rows, apart, radii, children = self.pages[number]
             reach = np.abs(above - apart)
             if leaf:
-                rows = rows[(reach <= worst + _SLACK) & allowed[rows]]
-                if not len(rows):
-                    continue
-                found += zip(score(rows).tolist(), rows.tolist(), to_query(rows).tolist())
-                if len(found) >= k:
-                    found.sort(key=lambda x: -x[0])
-                    last = found[k - 1][0]
-                    found = [x for x in found if x[0] >= last]
-                    worst = max(x[2] for x in found)
+                near = reach <= worst + _SLACK
+                if near.all():
+                    places = np.arange(rows, rows + len(apart))
+                    scores = score(slice(rows, rows + len(apart)))
+                else:
+                    places = rows + np.flatnonzero(near)
+                    scores = score(places)
+                good = np.flatnonzero((scores >= last) & allowed[places])
+                if len(good):
+                    found += zip(scores[good].tolist(), places[good].tolist())
+                    if len(found) >= k:
+                        found.sort(key=lambda x: -x[0])
+                        last = found[k - 1][0]
+                        found = [x for x in found if x[0] >= last]
+                        worst = distance(last)
                 continue
             near = np.flatnonzero(reach - radii <= worst + _SLACK)
             own = to_query(rows[near])
@@ -108,26 +119,31 @@ class Tree:
                 least = max(bound, d - radii[i])
                 if least <= worst + _SLACK:
                     heapq.heappush(queue, (least, children[i], d))
-        return [(s, row) for s, row, _ in found]
+        return found
 
 
 def _search(k):
     def search(queries, rows):
         out = []
         if len(queries) and len(rows):
-            ids, asked = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+            asked = queries["vec_id"].to_numpy()
             x, q = (np.stack(df["v"].to_numpy()) for df in (rows, queries))
-            # Products of whole numbers are exact as integers; distances need not be.
-            norms = np.einsum("ij,ij->i", x, x)
+            norms, lengths = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
             top = norms.max()
-            points = np.hstack([x, np.sqrt(np.maximum(0, top - norms))[:, None]])
-            scale = max(1.0, float(np.sqrt(top)), float(np.sqrt(np.einsum("ij,ij->i", q, q).max())))
-            tree = Tree(points / scale)
-            whole, own = x.astype(np.int64), q.astype(np.int64)
+            scale = max(1.0, float(np.sqrt(top)), float(np.sqrt(lengths.max())))
+            tree = Tree(np.hstack([x, np.sqrt(np.maximum(0, top - norms))[:, None]]) / scale)
+            ids, own = rows["vec_id"].to_numpy()[tree.order], x[tree.order]
+            # Whole numbers: doubles hold their products exactly up to 2**53, integers beyond.
+            if max(top, lengths.max()) >= 2.0**52:
+                own, q = own.astype(np.int64), q.astype(np.int64)
             for i in range(len(q)):
                 query = np.append(q[i], 0.0) / scale
-                for s, row in tree.search(query, k, lambda r, v=own[i]: whole[r] @ v, ids != asked[i]):
-                    out.append((asked[i], ids[row], s))
+
+                def distance(score, length=lengths[i]):
+                    return np.sqrt(max(0.0, length + top - 2.0 * score)) / scale
+
+                for s, place in tree.search(query, k, lambda at, v=q[i]: own[at] @ v, distance, ids != asked[i]):
+                    out.append((asked[i], ids[place], int(s)))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     return search
