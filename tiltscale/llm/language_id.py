@@ -27,6 +27,10 @@ UNDETERMINED = "und"
 MOST_PHRASES = 0.8
 
 _MEMORY = 400_000
+# Characters of texts whose new words are parsed together; longer words go one by one.
+_TOGETHER, _LONG = 1_000_000, 64
+# Cells of all automata together, up to which they are dense tables.
+_TABLE_CELLS = 40_000_000
 
 
 def words_of(text):
@@ -106,39 +110,90 @@ class Model:
 
 
 class Parser(dict):
-    """Word between white space → row of ``counts``: phrases by language, then letters."""
+    """Word between white space → row of ``counts``: phrases by language, then letters.
+
+    Words of one length that are new to a batch of texts step through the automata side by
+    side, which are dense tables then, unless those would be large.
+    """
 
     def __init__(self, model):
         super().__init__()
         self.model = model
+        letters = sorted({letter for a in model.automata for _, letter in a.step})
+        place = {letter: i + 1 for i, letter in enumerate(letters)}
+        self.letters = np.array([ord(c) for c in letters], np.uint32)
+        states = [1 + max(a.step.values(), default=0) for a in model.automata]
+        self.tables = None
+        if sum(states) * (len(letters) + 1) <= _TABLE_CELLS:
+            self.tables = []
+            for automaton, count in zip(model.automata, states):
+                # Letter 0 stands for those that no language has.
+                table = np.full((count, len(letters) + 1), -1, np.int32)
+                for (state, letter), after in automaton.step.items():
+                    table[state, place[letter]] = after
+                self.tables.append(table)
         self.forget()
 
     def forget(self):
         self.clear()
         self.counts = np.zeros((1024, len(self.model.languages) + 1), np.int64)
 
-    def __missing__(self, chunk):
-        at = len(self)
-        if at == len(self.counts):
+    def _side_by_side(self, words):
+        """Phrases of words of one length, by language."""
+        padded = [f" {w} " for w in words]
+        codes = np.array(padded, f"<U{len(padded[0])}").view("<u4").reshape(len(words), -1)
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        codes = np.where(self.letters[at] == codes, at + 1, 0)
+        out = np.zeros((len(words), len(self.tables)), np.int64)
+        for j, table in enumerate(self.tables):
+            state, count = np.zeros(len(words), np.int64), out[:, j]
+            for letter in codes.T:
+                after = table[state, letter]
+                ended = after < 0
+                count += ended & (state > 0)
+                after = np.where(ended, table[0, letter], after)
+                alone = after < 0
+                count += alone
+                state = np.where(alone, 0, after)
+            count += state > 0
+        return out
+
+    def learn(self, chunks):
+        """Put ``chunks``, none of them known, into the table."""
+        parts = [words_of(c) for c in chunks]
+        by_length, phrases = {}, {}
+        for word in set().union(*parts):
+            by_length.setdefault(len(word), []).append(word)
+        for length, words in by_length.items():
+            if self.tables and length <= _LONG:
+                phrases.update(zip(words, self._side_by_side(words)))
+            else:
+                phrases.update((w, np.array(self.model.word(w))) for w in words)
+        first = len(self)
+        while len(self.counts) < first + len(chunks):
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        for word in words_of(chunk):
-            self.counts[at, :-1] += self.model.word(word)
-            self.counts[at, -1] += len(word)
-        self[chunk] = at
-        return at
-
-    def judge(self, text):
-        """``(language, score, phrases per letter)`` of a whole text."""
-        if not text:
-            return UNDETERMINED, 0.0, 0.0
+        for at, (chunk, words) in enumerate(zip(chunks, parts), first):
+            own = self.counts[at]
+            for word in words:
+                own[:-1] += phrases[word]
+                own[-1] += len(word)
+            self[chunk] = at
+
+    def judge_all(self, texts):
+        """``(language, score, phrases per letter)`` of each of some whole texts."""
         if len(self) > _MEMORY:
             self.forget()
-        chunks = text.split()
-        # Looked up first: a new word may make the table grow.
-        rows = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        total = self.counts[rows].sum(axis=0)
+        parts = [t.split() if t else [] for t in texts]
+        if self.model.languages:
+            self.learn(list(set().union(*parts).difference(self)))
+        return [self._judge(p) for p in parts]
+
+    def _judge(self, chunks):
+        if not chunks or not self.model.languages:
+            return UNDETERMINED, 0.0, 0.0
+        total = self.counts[np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
         letters = int(total[-1])
-        if not letters or not self.model.languages:
+        if not letters:
             return UNDETERMINED, 0.0, 0.0
         rates = total[:-1] * self.model.bits / letters
         best, *rest = np.argsort(rates, kind="stable").tolist()
@@ -146,6 +201,18 @@ class Parser(dict):
         return self.model.languages[best], float(min(1.0, max(0.0, score))), float(total[best] / letters)
 
 
+def _judged(parser, column):
+    """What ``parser`` makes of an Arrow column of texts, some of them at a time."""
+    texts, held = [], 0
+    for value in column:
+        texts.append(value.as_py())
+        held += len(texts[-1] or "")
+        if held > _TOGETHER:
+            yield from parser.judge_all(texts)
+            texts, held = [], 0
+    yield from parser.judge_all(texts)
+
+
 def held_out(doc_id):
     """Whether a document is kept from learning: CRC-32 of its id's digits, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -199,7 +266,7 @@ def identify(docs, model, text="text"):
     def judge(batches):
         parser = _parser_of(key, shared)
         for batch in batches:
-            judged = [parser.judge(t.as_py()) for t in batch.column(len(names))]
+            judged = list(_judged(parser, batch.column(len(names))))
             lang, score, phrases = zip(*judged) if judged else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.float64())],
@@ -218,13 +285,13 @@ def accepted(docs, model, most=MOST_PHRASES, text="text"):
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     place = docs.columns.index(text)
 
-    def keep(batches):
+    def choose(batches):
         parser = _parser_of(key, shared)
         for batch in batches:
-            judged = (parser.judge(t.as_py()) for t in batch.column(place))
-            yield batch.filter(pa.array([lang != UNDETERMINED and phrases <= most for lang, _, phrases in judged], pa.bool_()))
+            keep = [lang != UNDETERMINED and phrases <= most for lang, _, phrases in _judged(parser, batch.column(place))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(choose, docs.schema)
 
 
 def learn_and_identify(docs):
