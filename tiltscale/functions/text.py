@@ -9,13 +9,38 @@ _KEPT = r"(?U)[^\s\x1c-\x1f]"
 
 
 def decoded(text, schema):
-    """Generator of the fields of a JSON object, all null where it is none.
+    """Generator of the fields of a JSON object, all null where the text is not just one.
 
     A filter on the fields of a plain ``from_json`` is pushed below it, and the
     text is then parsed once for the filter's every mention of a field.  Nothing
     is pushed through a generator, so here it is parsed once.
     """
-    return F.inline(F.array(F.from_json(text, schema)))
+    return F.inline(F.transform(F.array(_wrapped(text, schema)), _whole))
+
+
+def _wrapped(text, schema):
+    """The text parsed as a member of an object that goes on behind it.
+
+    Spark stops at the end of a value and ignores what follows; here what follows has
+    to be the next member, so junk behind the object, or a second one, is an error.
+    """
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    text = F.col(text) if isinstance(text, str) else text
+    return F.from_json(F.concat(F.lit('{"whole":'), text, F.lit(',"end":1}')), f"whole {kind}, end int")
+
+
+def _whole(parsed):
+    return F.when(parsed["end"] == 1, parsed["whole"])
+
+
+def json_members(text):
+    """Members of a text that is one JSON object, as texts by key; null where it is not."""
+    return F.get(F.transform(F.array(_wrapped(text, "map<string,string>")), _whole), F.lit(0))
+
+
+def json_keys(text):
+    """Key names of a text that is one JSON object; null where it is not."""
+    return F.map_keys(json_members(text))
 
 
 def strip(text):

@@ -14,6 +14,8 @@ from tiltscale.operators.lookup import broadcast_bytes, key_hash, lookup, profil
 # From this share of wanted pages on, parsing all of them in place costs less
 # than shuffling the HTML of the wanted ones.
 _MOST_PAGES = 0.25
+# Stands for a page_id that is null.
+_NO_PAGE_ID = -(2**63)
 
 
 def _good_url(requests):
@@ -82,6 +84,8 @@ def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls
       so that no HTML is sorted.
     """
     keyed = requests.withColumn("__url", _good_url(requests))
+    # A capture without a number comes before all others, and counts if it is the only one.
+    pages = pages.withColumn("page_id", F.coalesce("page_id", F.lit(_NO_PAGE_ID)))
     urls = urls or profile_keys(requests, ["url"])
     size = urls.key_bytes + 8 * urls.keys
     few = size <= broadcast_bytes(pages.sparkSession)
@@ -102,11 +106,16 @@ def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls
     if few:
         found = pages.select("url", "page_id").join(F.broadcast(wanted), "url")
         last = F.broadcast(found.groupBy(*wanted.columns).agg(F.max("page_id").alias("page_id")))
-        pages = spread_small_input(pages)
+        spread = spread_small_input
     else:
         # Neither side of this join has a URL twice, and both are partitioned by it.
         last = _last_captures(pages).join(wanted, "url").hint("shuffle_hash")
-    captured = pages.join(last, ["url", "page_id"]).select(F.col("url").alias("__url"), carried, *outcome)
+
+        def spread(df, judged):
+            return df
+
+    # Pages meet the URLs where they are read; only those that are wanted are spread.
+    captured = spread(pages.join(last, ["url", "page_id"]), judged=pages).select(F.col("url").alias("__url"), carried, *outcome)
     joined = lookup(keyed, captured, ["__url"], profile=urls)
     return _mark_fetch(joined, profile).drop("__url", "fetched", "timed_out")
 
@@ -145,6 +154,9 @@ def attach_articles(requests, pages, profile, only_models=None, urls=None):
     element = block_element(source)
     carried = content(F.when(F.col("needs_text"), element))
     attached = _attach(requests, pages, profile, carried, content(element), needs_text, urls)
+    if needs_text is not None:
+        # Whatever others asked of the page, and whichever way it came.
+        attached = attached.withColumn("content", F.when(needs_text, F.col("content")))
     articles = attached.withColumn("source", source)
 
     good = F.col("status").isNull()

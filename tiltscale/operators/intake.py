@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tiltscale.fixed_values import NO_URL
-from tiltscale.functions.text import decoded
+from tiltscale.functions.text import decoded, json_keys
 from tiltscale.plans.profiles import SYNC
 from tiltscale.schemas import REQUEST_BODY
 
@@ -15,7 +15,7 @@ def _has(name):
     its name; with a backslash the name could be escaped.
     """
     body = F.col("body")
-    parsed = F.map_contains_key(F.from_json(body, "map<string,string>"), name)
+    parsed = F.array_contains(json_keys(body), name)
     return (
         F.when(F.col(name).isNotNull(), True)
         .when(~F.contains(body, F.lit(name)) & ~F.contains(body, F.lit("\\")), False)

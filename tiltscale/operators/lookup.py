@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 # Below this many rows for the hottest key one task copes with it.
 HOT_MIN_ROWS = 100_000
-# An input of at most this many bytes per core is small.
+# An input of at most this many bytes per core, and in all, is small.
 SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
+SMALL_BYTES = 1024 * 1024 * 1024
 # Java object overhead of one broadcast key, added to the bytes of its text.
 _KEY_OVERHEAD = 64
 
@@ -120,15 +121,17 @@ def lookup(left, right, keys, how="left", profile=None, measured=None):
     return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")
 
 
-def spread_small_input(df):
+def spread_small_input(df, judged=None):
     """Give a small batch input one partition per core.
 
     Parsing is bound by CPU, and a small table is often one file, so one task.  The
     size is the optimizer's estimate, so nothing runs to get it; a table past it is
-    returned as it is, as it has splits enough.
+    returned as it is, as it has splits enough.  ``judged`` is the input whose size
+    counts, where that is not ``df`` itself.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size <= cores * SMALL_BYTES_PER_CORE else df
+    judged = df if judged is None else judged
+    size = int(judged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= min(SMALL_BYTES, cores * SMALL_BYTES_PER_CORE) else df

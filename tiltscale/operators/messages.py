@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tiltscale.functions.text import decoded
+from tiltscale.functions.score import parse_number
+from tiltscale.functions.text import decoded, json_keys, json_members
 from tiltscale.operators.rating import is_known_model
 from tiltscale.schemas import ARTICLE, RESULT
 
@@ -26,9 +27,15 @@ def _with_fields(messages, schema, keep):
     return messages.select(*keep, value.alias("value")).select(*keep, "value", decoded("value", schema))
 
 
-def _keys():
-    """Key names of the message; null where it is no JSON object."""
-    return F.map_keys(F.from_json("value", "map<string,string>"))
+def _with_result_fields(messages, keep):
+    """Result fields, and ``score_text``: what stands for a score that did not decode as a number.
+
+    The message is only parsed again for the text where the number is missing.
+    """
+    fields = _with_fields(messages, RESULT, keep)
+    text = F.when(F.col("score").isNull(), F.element_at(json_members("value"), "score"))
+    fields = fields.withColumn("score_text", text)
+    return fields.withColumn("score", F.coalesce("score", parse_number(F.col("score_text"))))
 
 
 def decode_articles(messages, *keep):
@@ -42,7 +49,7 @@ def article_rejects(messages, *keep):
     empty = content.isNull() | (content == "") | model.isNull() | (model == "")
     left_out = _with_fields(messages, ARTICLE, keep).where(empty | ~is_known_model(model))
     reason = (
-        F.when(~empty, "unknown model").when(_keys().isNull(), "malformed").otherwise("nothing to rate")
+        F.when(~empty, "unknown model").when(json_keys("value").isNull(), "malformed").otherwise("nothing to rate")
     )
     return left_out.select(*keep, "value", reason.alias("reason"))
 
@@ -57,17 +64,24 @@ def _has_all_keys(schema):
     filled = F.lit(True)
     for name in names:
         filled = filled & F.col(name).isNotNull()
-    present = F.size(F.array_intersect(_keys(), F.array(*map(F.lit, names)))) == len(names)
+    present = F.size(F.array_intersect(json_keys("value"), F.array(*map(F.lit, names)))) == len(names)
     return F.when(filled, True).otherwise(F.coalesce(present, F.lit(False)))
 
 
+def _bad_score():
+    """Whether a score is there that is no number; a null one is just null."""
+    return F.col("score_text").isNotNull() & F.col("score").isNull()
+
+
 def decode_results(messages, *keep):
-    """``[value]`` → ``[url, model, result, score]`` of messages with all four keys."""
-    return _with_fields(messages, RESULT, keep).where(_has_all_keys(RESULT)).drop("value")
+    """``[value]`` → ``[url, model, result, score]`` of messages with all four keys and a usable score."""
+    good = _has_all_keys(RESULT) & ~_bad_score()
+    return _with_result_fields(messages, keep).where(good).select(*keep, "url", "model", "result", "score")
 
 
 def result_rejects(messages, *keep):
-    """Result messages that lack a key or are no object: ``[value, reason]``."""
-    reason = F.when(_keys().isNull(), "malformed").otherwise("missing key")
-    rejected = _with_fields(messages, RESULT, keep).where(~_has_all_keys(RESULT))
+    """Result messages that are no object, lack a key, or whose score is no number: ``[value, reason]``."""
+    whole = _has_all_keys(RESULT)
+    reason = F.when(whole, "bad score").when(json_keys("value").isNull(), "malformed").otherwise("missing key")
+    rejected = _with_result_fields(messages, keep).where(~whole | _bad_score())
     return rejected.select(*keep, "value", reason.alias("reason"))

@@ -9,11 +9,11 @@ on ``df`` since, to backends that join.
 """
 
 import json
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tiltscale.fixed_values import FAILED_RATING_TEXT, KNOWN_MODELS, STUB_RATING_TEXT, UNKNOWN_MODEL
 from tiltscale.functions.prompts import build_prompt, model_options
@@ -36,6 +36,22 @@ def rateable(articles):
 
 # --- backends -----------------------------------------------------------------
 
+def settled(responses):
+    """``[url, model, result]`` with one row per key: the smallest text of those recorded.
+
+    Keys are counted first, which needs no texts; only texts of keys that were counted
+    more than once are compared.  For a stream, write this once and use it as
+    ``recorded(..., unique=True)``.
+    """
+    keys = ["url", "model"]
+    answers = responses.select(*keys, "result")
+    repeated = answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    single = answers.join(repeated, keys, "left_anti")
+    smallest = answers.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min("result").alias("result"))
+    nameless = F.col("url").isNull() | F.col("model").isNull()
+    return single.where(~nameless).union(smallest.select(*keys, "result"))
+
+
 def recorded(responses, unique=False):
     """Answers captured earlier, ``[url, model, result]``.
 
@@ -47,7 +63,7 @@ def recorded(responses, unique=False):
     # Only known models are asked, so a URL has no more answers than there are of those.
     answers = responses.select("url", "model", "result").where(is_known_model(F.col("model")))
     if not unique:
-        answers = answers.groupBy("url", "model").agg(F.min("result").alias("result"))
+        answers = settled(answers)
 
     def backend(df, measure):
         urls = None if df.isStreaming else measure()
@@ -72,51 +88,97 @@ def stub():
     return backend
 
 
+def _usable(answer):
+    """An answer as text; whatever else a client returns concerns its own row only."""
+    if not isinstance(answer, str):
+        raise TypeError(f"the client answered with {type(answer).__name__}, not text")
+    answer.encode()
+    return answer
+
+
+def _called_batches(make_client, calls_in_flight, batches):
+    """``(result, rating_error)`` of each ``(prompt, options)``, batch by batch.
+
+    The next batch's calls are under way before the last answer of this one is in.
+    """
+    client = make_client()
+
+    def ask(prompt, options):
+        if prompt is None:
+            return None, None
+        try:
+            return _usable(client(prompt, json.loads(options))), None
+        except Exception as error:
+            text = str(error) or type(error).__name__
+            return None, text.encode(errors="replace").decode()
+
+    def gathered(calls):
+        results, errors = zip(*[call.result() for call in calls]) if calls else ((), ())
+        return pa.StructArray.from_arrays(
+            [pa.array(results, pa.string()), pa.array(errors, pa.string())], ["result", "rating_error"]
+        )
+
+    with ThreadPoolExecutor(calls_in_flight) as pool:
+        before = None
+        for prompts, options in batches:
+            calls = [pool.submit(ask, p.as_py(), o.as_py()) for p, o in zip(prompts, options)]
+            if before is not None:
+                yield gathered(before)
+            before = calls
+        if before is not None:
+            yield gathered(before)
+
+
 def called(make_client, calls_in_flight=1, partitions=None):
     """Answers of ``make_client()(prompt, options)``, called on the executors.
 
     ``make_client`` runs once per task, so connections are reused for all of a
     partition.  ``options`` is a dict with the provider's settings.  An exception
-    concerns its own row only.  ``calls_in_flight`` threads per task overlap
-    waiting.  ``partitions`` spreads the rows over that many tasks, whatever the
-    step before left; times ``calls_in_flight`` it is the most calls at once.
-
-    A retried task repeats its calls: write the rated rows to a table and branch
-    from there rather than use the returned DataFrame twice.
+    concerns its own row only, and so does an answer that is not text, or text that
+    is no Unicode.  ``calls_in_flight`` threads per task overlap waiting, across
+    batches as well.  ``partitions`` spreads the rows over that many tasks, whatever
+    the step before left; times ``calls_in_flight`` it is the most calls at once.
+
+    Only prompts and options go to Python, and only answers come back.  A retried task
+    repeats its calls: write the rated rows to a table and branch from there rather
+    than use the returned DataFrame twice; ``not_rated_yet`` leaves out what such a
+    table holds.
     """
 
-    def backend(df, measure):
-        schema = T.StructType(
-            df.schema.fields
-            + [T.StructField("result", T.StringType()), T.StructField("rating_error", T.StringType())]
-        )
+    def answer(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from _called_batches(make_client, calls_in_flight, batches)
 
-        def rate_batches(batches):
-            client = make_client()
-
-            def ask(prompt, options):
-                if prompt is None:
-                    return None, None
-                try:
-                    return client(prompt, json.loads(options)), None
-                except Exception as error:
-                    return None, str(error) or type(error).__name__
-
-            with ThreadPoolExecutor(calls_in_flight) as pool:
-                for batch in batches:
-                    answers = list(pool.map(ask, batch.column("prompt").to_pylist(), batch.column("options").to_pylist()))
-                    results, errors = zip(*answers) if answers else ((), ())
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns, pa.array(results, pa.string()), pa.array(errors, pa.string())],
-                        names=[*batch.schema.names, "result", "rating_error"],
-                    )
+    # Non-deterministic, so that the optimizer never makes a call twice.
+    ask = F.arrow_udf(answer, "result string, rating_error string").asNondeterministic()
 
+    def backend(df, measure):
         spread = df.repartition(partitions) if partitions else df
-        return spread.mapInArrow(rate_batches, schema)
+        # A generator keeps the call from being repeated for each of its fields.
+        answered = spread.withColumn("__answer", ask("prompt", "options"))
+        return answered.select(*df.columns, F.inline(F.array("__answer")))
 
     return backend
 
 
+def content_key(articles):
+    """``articles`` with ``content_hash``: what a paid answer is kept under, beside URL and model."""
+    return articles.withColumn("content_hash", F.sha2("content", 256))
+
+
+def not_rated_yet(articles, rated):
+    """Articles whose URL, model and content hash ``rated`` does not hold; nulls are equal here.
+
+    Put before ``called``, it keeps a rerun from paying again for what was written.
+    """
+    keys = ("url", "model", "content_hash")
+    held = rated.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    keyed = content_key(articles)
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"__{key}"))
+    return keyed.join(held, same, "left_anti").drop("content_hash")
+
+
 # --- the step -------------------------------------------------------------------
 
 def rate(df, backend, template="detailed", streaming_options=False, when=None, any_model=False, measure=None):

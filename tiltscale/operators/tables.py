@@ -20,6 +20,21 @@ def conform(df, schema):
     return df.select(*[_conformed(df, field) for field in schema.fields])
 
 
+def conform_rejects(df, schema):
+    """Rows that ``conform`` would change or break, as they are, with ``misfits``.
+
+    Those are the fields, comma-joined in order, whose value does not fit its type, or
+    which are null and must not be.
+    """
+    misfits = []
+    for field in schema.fields:
+        lost = F.col(field.name).isNotNull() & _conformed(df, field).isNull()
+        if not field.nullable:
+            lost = lost | F.col(field.name).isNull()
+        misfits.append(F.when(lost, F.lit(field.name)))
+    return df.withColumn("misfits", F.concat_ws(",", *misfits)).where("misfits <> ''")
+
+
 def to_stored_results(results):
     """Decoded result messages as rows of the result table."""
     return conform(results.withColumnRenamed("score", "bias_score"), STORED_RESULT)

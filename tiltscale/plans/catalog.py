@@ -18,7 +18,7 @@ from tiltscale.plans import requests as plans
 from tiltscale.plans.profiles import ASYNC, LEGACY_ASYNC, LEGACY_SYNC, SYNC
 from tiltscale.session import bound_arrow_batches, shared_folder
 from tiltscale.sources import derived
-from tiltscale.sources.messages import publish, read_messages, read_messages_batch
+from tiltscale.sources.messages import publish, read_articles, read_messages, read_messages_batch
 from tiltscale.sources.sinks import append_results, write_once
 from tiltscale.streaming import jobs
 
@@ -67,6 +67,10 @@ def _responses(spark, folder):
     return derived.from_tables(spark, folder, derived.RESPONSES)
 
 
+def _all_responses(spark, folder):
+    return derived.from_tables(spark, folder, derived.ALL_RESPONSES)
+
+
 def _page_responses(spark, folder):
     return derived.from_tables(spark, folder, derived.PAGE_RESPONSES)
 
@@ -235,6 +239,46 @@ def rate_called(spark, folder):
     return rated.select("doc_id", "result", "rating_error", parse_score(F.col("result")).alias("score"))
 
 
+@_query
+def rate_repeated(spark, folder):
+    """Answers that were recorded more than once; the smallest text counts."""
+    responses = derived.from_tables(spark, folder, derived.REPEATED_RESPONSES)
+    articles = rating.rateable(_articles(spark, folder))
+    rated = rating.with_fallback(rating.rate(articles, rating.recorded(responses)))
+    return rated.select("doc_id", "url", "model", "result", "rating_error")
+
+
+def _odd_client():
+    """A stand-in whose answers are not always text."""
+
+    def ask(prompt, options):
+        n = len(prompt)
+        return (f"read {n}", n, None, b"\xff", "\ud800")[n % 5]
+
+    return ask
+
+
+@_query
+def rate_called_odd_answers(spark, folder):
+    """Answers that are no text are errors of their rows, and nothing else fails."""
+    known = rating.rateable(_articles(spark, folder)).where(rating.is_known_model(F.col("model")))
+    rated = rating.rate(known, rating.called(_odd_client, calls_in_flight=4))
+    surrogate = F.contains("rating_error", F.lit("surrogates not allowed"))
+    error = F.when(surrogate, "surrogates not allowed").otherwise(F.col("rating_error"))
+    return rated.select("doc_id", "result", error.alias("rating_error"))
+
+
+@_query
+def rate_skips_known(spark, folder):
+    """What a rerun still has to pay for: articles that no earlier table holds with that text."""
+    articles = rating.rateable(_articles(spark, folder))
+    before = articles.where("doc_id % 3 = 0").withColumn(
+        "content", F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise(F.lit("an earlier text"))
+    )
+    held = write_once(rating.content_key(before).select("url", "model", "content_hash"), f"{_new_folder(spark)}/rated")
+    return rating.not_rated_yet(articles, held).select("doc_id", "url", "model")
+
+
 def _options_query(name, streaming):
     @_named(name)
     def options(spark, folder):
@@ -250,12 +294,12 @@ _options_query("model_options_stream", streaming=True)
 
 @_named("parse_score")
 def scores(spark, folder):
-    return _responses(spark, folder).select("url", "model", parse_score(F.col("result")).alias("score"))
+    return _all_responses(spark, folder).select("url", "model", parse_score(F.col("result")).alias("score"))
 
 
 @_named("clean_result")
 def cleaned(spark, folder):
-    return _responses(spark, folder).select("url", "model", clean_result(F.col("result")).alias("result"))
+    return _all_responses(spark, folder).select("url", "model", clean_result(F.col("result")).alias("result"))
 
 
 # --- outcomes -------------------------------------------------------------------
@@ -345,7 +389,7 @@ def news_table(spark, folder):
 
 @_query
 def rated_table(spark, folder):
-    responses = _responses(spark, folder)
+    responses = _all_responses(spark, folder)
     rated = responses.select(
         F.col("url").alias("Link"), F.col("model").alias("Model"),
         parse_score(F.col("result")).alias("Score"), clean_result(F.col("result")).alias("Reason"),
@@ -353,6 +397,12 @@ def rated_table(spark, folder):
     return tables.conform(rated, schemas.RATED)
 
 
+@_query
+def conform_rejects(spark, folder):
+    """Ratings that do not fit the table: numbers out of range, and keys that are null."""
+    return tables.conform_rejects(derived.from_tables(spark, folder, derived.WIDE_RESPONSE), schemas.RESPONSE)
+
+
 @_query
 def response_table(spark, folder):
     return tables.conform(derived.from_tables(spark, folder, derived.RESPONSE), schemas.RESPONSE)
@@ -371,14 +421,14 @@ def pk_violations_nullable(spark, folder):
 @_query
 def fk_violations(spark, folder):
     response = derived.from_tables(spark, folder, derived.RESPONSE)
-    news = derived.from_tables(spark, folder, derived.NEWS)
+    news = derived.from_tables(spark, folder, derived.SOME_NEWS)
     return tables.foreign_key_violations(response, "Link", news, "Link")
 
 
 @_query
 def fk_orphans(spark, folder):
     response = derived.from_tables(spark, folder, derived.RESPONSE)
-    news = derived.from_tables(spark, folder, derived.NEWS)
+    news = derived.from_tables(spark, folder, derived.SOME_NEWS)
     return tables.orphans(response, "Link", news, "Link")
 
 
@@ -394,11 +444,33 @@ def _message_files(spark, df, base):
 @_query
 def rating_stream(spark, folder):
     base = _new_folder(spark)
-    source = read_messages(spark, "text", _message_files(spark, _messages(spark, folder), base))
-    backend = rating.recorded(_responses(spark, folder))
+    path = _message_files(spark, _messages(spark, folder), base)
+    _drain_ratings(spark, base, path, _settled_backend(spark, folder, base))
+    return messages.decode_results(read_messages_batch(spark, "text", f"{base}/results"))
+
+
+def _settled_backend(spark, folder, base):
+    """Recorded answers, made unique once, so that no micro-batch does it again."""
+    answers = write_once(rating.settled(_responses(spark, folder)), f"{base}/answers")
+    return rating.recorded(answers, unique=True)
+
+
+def _drain_ratings(spark, base, path, backend):
     jobs.rating_job(
-        source, backend, f"{base}/checkpoint", fmt="text", path=f"{base}/results", trigger=jobs.DRAIN
+        read_articles(spark, fmt="text", path=path), backend, f"{base}/checkpoint", fmt="text", path=f"{base}/results",
+        trigger=jobs.DRAIN,
     ).awaitTermination()
+
+
+@_query
+def rating_stream_resumed(spark, folder):
+    """Half of the messages, then the rest, from one checkpoint: each is rated once."""
+    base = _new_folder(spark)
+    backend = _settled_backend(spark, folder, base)
+    derived_messages = _messages(spark, folder)
+    for part in (0, 1):
+        derived_messages.where(F.col("doc_id") % 2 == part).select("value").write.mode("append").text(f"{base}/messages")
+        _drain_ratings(spark, base, f"{base}/messages", backend)
     return messages.decode_results(read_messages_batch(spark, "text", f"{base}/results"))
 
 

@@ -71,11 +71,23 @@ _ANSWER = _case("doc_id % 10", {
     8: f"{_SCORE} || '{_MARKER}'",
     9: f"case when doc_id % 20 = 9 then '{_MARKER}score: ' || {_SCORE} || '{_MARKER}'"
        f" else '{_MARKER}' || {_SCORE} || 'd{_MARKER}' end",
-}, f"'- ' || left(text, 40) || chr(10) || '{_MARKER} ' || {_SCORE} || ' {_MARKER}'")
+}, f"'- ' || text || chr(10) || '{_MARKER} ' || {_SCORE} || ' {_MARKER}'")
 
-RESPONSES = f"""
+ALL_RESPONSES = f"""
 select source || '/' || {_DOC} as url, {_MODEL} as model, {_ANSWER} as result
-from {{documents}} where doc_id % 23 <> 0
+from {{documents}}
+"""
+
+# The same with every 23rd missing, for what happens where no answer was recorded.
+RESPONSES = f"{ALL_RESPONSES} where doc_id % 23 <> 0"
+
+# Answers of which some were recorded more than once, with other texts or the same.
+REPEATED_RESPONSES = f"""
+{ALL_RESPONSES}
+union all
+select url, model, result || ' again' from ({ALL_RESPONSES}) again where length(result) % 5 = 0
+union all
+select url, model, result from ({ALL_RESPONSES}) once_more where length(result) % 7 = 0
 """
 
 # Answers recorded for the pages' requests; every ninth page has none.
@@ -92,10 +104,22 @@ from ({WEB}) web where page_id % 9 <> 4
 NEWS = f"""
 select source || '/' || {_DOC} as Link, left(text, 60) as Title, text as Content, source as Source,
   date '2024-01-01' + cast(doc_id % 30 as int) as CollectDate
-from {{documents}} where doc_id % 29 <> 0
+from {{documents}}
 union all
 select source || '/' || {_DOC}, left(text, 60), text, source, date '2024-01-01' + cast(doc_id % 30 as int)
-from {{documents}} where doc_id % 29 <> 0 and doc_id % 97 = 1
+from {{documents}} where doc_id % 97 = 1
+"""
+
+# News of which some are missing, for keys that lead nowhere.
+SOME_NEWS = f"select source || '/' || {_DOC} as Link from {{documents}} where doc_id % 29 <> 0"
+
+# Ratings whose values do not all fit the table they go to.
+WIDE_RESPONSE = f"""
+select case when doc_id % 37 = 0 then cast(null as bigint) else doc_id * 3000000 end as id,
+  source || '/' || {_DOC} as Link,
+  case when doc_id % 11 = 0 then 1e12 when doc_id % 13 = 0 then cast(null as double) else doc_id / 8.0e0 end as Score,
+  'c' || {_DOC} as Comments
+from {{documents}}
 """
 
 RESPONSE = f"""
@@ -106,8 +130,8 @@ select labels.doc_id as id,
 from {{labels}} labels join {{documents}} documents on labels.doc_id = documents.doc_id
 """
 
-# Article messages, some of them broken, as a JSON text per document.  Texts are
-# given by their length here, as quoting them is the engines' own affair.
+# Article messages, some of them broken, as a JSON text per document.  Quoting a text is
+# the engines' own affair: {{quoted text}} is the text as each writes it.
 MESSAGES = f"""
 select doc_id,
   {_case("doc_id % 19", {
@@ -120,7 +144,9 @@ select doc_id,
       7: f"""'{{"content":"","model":"gpt","url":"u/' || {_DOC} || '"}}'""",
       8: f"""'{{"content":"c","model":null,"url":"u/' || {_DOC} || '"}}'""",
       9: """'null'""",
-  }, f'''\'{{"url":"\' || source || \'/\' || {_DOC} || \'","content":"\' || cast(length(text) as string) || \' characters","model":"\' || {_MODEL} || \'"}}\'''')} as value
+      10: f"""'{{"content":"c","model":"gpt","url":"u/' || {_DOC} || '"}} and more'""",
+      11: f"""'{{"content":"c","model":"gpt","url":"u/' || {_DOC} || '"}}{{"content":"d"}}'""",
+  }, f'''\'{{"url":"\' || source || \'/\' || {_DOC} || \'","content":\' || {{quoted text}} || \',"model":"\' || {_MODEL} || \'"}}\'''')} as value
 from {{documents}}
 """
 
@@ -131,7 +157,8 @@ select doc_id,
       1: f"""'{{"url":"u/' || {_DOC} || '","model":"gpt","result":"r"}}'""",
       2: f"""'{{"url":"u/' || {_DOC} || '","model":"gpt","result":null,"score":-999}}'""",
       3: "'{broken'",
-      4: f"""'{{"url":"u/' || {_DOC} || '","model":"gemini","result":"r","score":"NaN"}}'""",
+      4: f"""'{{"url":"u/' || {_DOC} || '","model":"gemini","result":"r","score":"' || case when doc_id % 2 = 0 then 'NaN' else 'high' end || '"}}'""",
+      5: f"""'{{"url":"u/' || {_DOC} || '","model":"gpt","result":"r","score":' || {_case("doc_id % 4", {0: "'[1]'", 1: "'1}x'", 2: "'null'"}, "'1}{'")} || '}}'""",
   }, f'''\'{{"url":"u/\' || {_DOC} || \'","model":"claude","result":"r\' || {_DOC} || \'","score":\' || {_SCORE} || \'}}\'''')} as value
 from {{documents}}
 """
@@ -143,6 +170,7 @@ def for_duckdb(statement):
     """The statement over DuckDB views of the tables' own names."""
     for table in _TABLES:
         statement = statement.replace("{" + table + "}", table)
+    statement = statement.replace("{quoted text}", "cast(to_json(text) as varchar)")
     return f"({statement.strip()})"
 
 
@@ -150,4 +178,7 @@ def from_tables(spark, folder, statement):
     """The statement as a DataFrame over the parquet tables of ``folder``."""
     for table in _TABLES:
         statement = statement.replace("{" + table + "}", f"parquet.`{folder}/{table}.parquet`")
+    # The member of a JSON object without the object.
+    member = "to_json(named_struct('t', text))"
+    statement = statement.replace("{quoted text}", f"substring({member}, 6, length({member}) - 6)")
     return spark.sql(statement)
