@@ -230,10 +230,17 @@ class Pieces:
             return []
         if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
             return (_LINE_SEGMENT if self.by_line else _SEGMENT).findall(SPACE + text.replace(" ", SPACE))
-        words = [SPACE + w for w in text.split(" ")]
         if not self.by_line or "\n" not in text:
-            return words
-        return [part for w in words for part in ((w,) if "\n" not in w else _LINE_SEGMENT.findall(w))]
+            return [SPACE + w for w in text.split(" ")]
+        first, *lines = text.split("\n")
+        parts = [SPACE + w for w in first.split(" ")]
+        for line in lines:
+            parts.append("\n")
+            head, *words = line.split(" ")
+            if head:
+                parts.append(head)
+            parts += [SPACE + w for w in words]
+        return parts
 
     def encode_all(self, texts):
         """``encode`` of each of ``texts``, whose new words are learned together."""
@@ -253,10 +260,11 @@ class Pieces:
         """
         if not words:
             return []
-        own = list(map(self._word, words))
-        best = [w[0] for w in own]
-        total = sum(w[2] for w in own)
-        losses = np.array([w[1] for w in own])
+        own = list(map(self.memory.get, words))
+        if None in own:
+            own = [self._word(word) if known is None else known for word, known in zip(words, own)]
+        best, losses, tops = zip(*own)
+        total, losses = sum(tops), np.array(losses)
         few = np.argsort(losses, kind="stable")[: self.n_best - 1] if len(own) < 1024 else self._least(losses)
         ways = [(0.0, ())]
         for at in sorted(int(i) for i in few if losses[i] < math.inf):
