@@ -70,7 +70,8 @@ def test_one_length_holds_most_rows(spark):
     got = P.pack(pieces, 64, ["doc_id"]).collect()
     assert len(got) == 3500
     total = sum(r.length for r in got)
-    assert _check(got, 64) <= -(-total // 64) + 2
+    # Sevens alone leave one of 64 free, so the bound of the sums is out of reach.
+    assert _check(got, 64) <= 1.02 * total / 64
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
