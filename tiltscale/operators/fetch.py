@@ -9,6 +9,7 @@ from tiltscale.functions.html_blocks import select_blocks
 from tiltscale.functions.source import block_class, block_element, identify_source
 from tiltscale.functions.text import article_text, is_blank
 from tiltscale.operators.lookup import broadcast_bytes, key_hash, lookup, profile_keys, spread_small_input
+from tiltscale.sources.captures import near
 
 
 # From this share of wanted pages on, parsing all of them in place costs less
@@ -82,8 +83,11 @@ def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls
     * Else the wanted pages are found in one shuffle keyed on URL and page, which
       spreads a URL captured very often, and joined by hashing the identifiers,
       so that no HTML is sorted.
+
+    Of captures laid out by URL, only buckets with a wanted URL are read.
     """
     keyed = requests.withColumn("__url", _good_url(requests))
+    pages = near(pages, keyed, "__url")
     # A capture without a number comes before all others, and counts if it is the only one.
     pages = pages.withColumn("page_id", F.coalesce("page_id", F.lit(_NO_PAGE_ID)))
     urls = urls or profile_keys(requests, ["url"])

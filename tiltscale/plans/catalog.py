@@ -18,6 +18,7 @@ from tiltscale.plans import requests as plans
 from tiltscale.plans.profiles import ASYNC, LEGACY_ASYNC, LEGACY_SYNC, SYNC
 from tiltscale.session import bound_arrow_batches, shared_folder
 from tiltscale.sources import derived
+from tiltscale.sources.captures import write_captures
 from tiltscale.sources.messages import publish, read_articles, read_messages, read_messages_batch
 from tiltscale.sources.sinks import append_results, write_once
 from tiltscale.streaming import jobs
@@ -110,15 +111,25 @@ def strict_sources(spark, folder):
     return _web(spark, folder).select("page_id", "url", identify_source(F.col("url"), strict_www=True).alias("source"))
 
 
-@_query
-def page_fetch(spark, folder):
-    fetched = attach_pages(parse_requests(_requests(spark, folder), SYNC), _web(spark, folder), SYNC)
+def _fetched(spark, folder, pages):
+    fetched = attach_pages(parse_requests(_requests(spark, folder), SYNC), pages, SYNC)
     return fetched.select(
         "request_id", "url", "status", "error",
         F.md5("html").alias("html_md5"), F.length("html").cast("long").alias("html_length"),
     )
 
 
+@_query
+def page_fetch(spark, folder):
+    return _fetched(spark, folder, _web(spark, folder))
+
+
+@_query
+def page_fetch_by_bucket(spark, folder):
+    """The same from captures laid out by URL."""
+    return _fetched(spark, folder, write_captures(_web(spark, folder), _new_folder(spark), buckets=16))
+
+
 # --- extraction -----------------------------------------------------------------
 
 @_query
