@@ -26,6 +26,8 @@ UNDETERMINED = "und"
 # Above so many phrases per character no learned language fits the text.
 MOST_PHRASES = 0.8
 
+# Groups of input partitions whose samples are merged first.
+_SLICES = 1024
 _MEMORY = 400_000
 # Characters of texts whose new words are parsed together; longer words go one by one.
 _TOGETHER, _LONG = 1_000_000, 64
@@ -230,7 +232,11 @@ def fit(labelled, lang="lang", text="text", order="doc_id", rows=SAMPLE_ROWS, ro
         F.col(lang).alias("lang"), F.substring(F.col(text), 1, row_chars).alias("text"),
         F.xxhash64(F.col(order).cast("string"), F.col(text)).alias("h"),
     )
-    # Spark keeps the first rows of each language before it shuffles them.
+    # Spark keeps the first rows of each language before it shuffles them; what many input
+    # partitions keep meets slice by slice, so that no task gets the rows of all of them.
+    excerpt = excerpt.withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(_SLICES)))
+    by_slice = F.row_number().over(Window.partitionBy("lang", "slice").orderBy("h", "text"))
+    excerpt = excerpt.withColumn("m", by_slice).where(F.col("m") <= rows)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = excerpt.withColumn("n", first).where(F.col("n") <= rows).orderBy("lang", "n").collect()
     texts, sizes = {}, {}
