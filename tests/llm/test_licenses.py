@@ -1,5 +1,6 @@
 import random
 
+from tiltscale.llm import license_texts as T
 from tiltscale.llm import licenses as L
 
 
@@ -79,3 +80,42 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert L.scan(no_documents).collect() == []
     long = spark.createDataFrame([(1, "license " * 20_000), (2, "the under License released mit " * 5_000)], "doc_id long, text string")
     assert {r.doc_id for r in L.scan(long).collect()} <= {2}
+
+
+def test_look_alikes_are_told_apart(spark):
+    gnu = "This work is licensed under the GNU {}General Public License, version {}"
+    texts = {
+        "Licensed under CC BY 4.0": {"CC-BY-4.0"},
+        "Licensed under CC BY-ND 4.0": {"CC-BY-ND-4.0"},
+        "Licensed under CC BY-NC-SA 4.0": {"CC-BY-NC-SA-4.0"},
+        "Licensed under CC BY-NC 3.0": {"CC-BY-NC-3.0"},
+        "This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License.": {"CC-BY-NC-4.0"},
+        gnu.format("", "3"): {"GPL-3.0"},
+        gnu.format("", "2"): {"GPL-2.0"},
+        gnu.format("Lesser ", "3"): {"LGPL-3.0"},
+        gnu.format("Library ", "2"): {"LGPL-2.0"},
+        gnu.format("Affero ", "3"): {"AGPL-3.0"},
+        gnu.format("", "7"): set(),
+        "Licensed under the Apache License, Version 1.1": {"Apache-1.1"},
+        "Licensed under the Apache License v2": {"Apache-2.0"},
+        "Released under the MIT No Attribution License": {"MIT-0"},
+        "Licensed by the authors for commercial use under CC BY 4.0": {"CC-BY-4.0"},
+    }
+    got = {}
+    for doc, name, _ in _found(spark, list(texts)):
+        got.setdefault(doc, set()).add(name)
+    assert {text: got.get(i, set()) for i, text in enumerate(texts)} == texts
+
+
+def test_bodies_are_told_apart(spark):
+    bodies = {
+        "MIT": T.MIT, "MIT-0": T.MIT_0, "BSD-2-Clause": T.BSD_2, "BSD-3-Clause": T.BSD_3, "BSD-4-Clause": T.BSD_4,
+        "ISC": T.ISC, "Apache-2.0": T.APACHE_2, "MPL-2.0": T.MPL_2_NOTICE,
+    }
+    filler = "many other words stand here and there " * 50
+    want = {(i, name, text) for i, (name, text) in enumerate(bodies.items())}
+    texts = [filler + "\n" + text + "\n" + filler for text in bodies.values()]
+    got = _found(spark, texts)
+    assert {(i, name) for i, name, _ in got} == {(i, name) for i, name, _ in want}
+    evil = T.MIT.replace("THE SOFTWARE IS PROVIDED", "The Software shall be used for Good, not Evil. THE SOFTWARE IS PROVIDED")
+    assert "MIT" not in {name for _, name, _ in _found(spark, [evil])}
