@@ -119,3 +119,13 @@ def test_bodies_are_told_apart(spark):
     assert {(i, name) for i, name, _ in got} == {(i, name) for i, name, _ in want}
     evil = T.MIT.replace("THE SOFTWARE IS PROVIDED", "The Software shall be used for Good, not Evil. THE SOFTWARE IS PROVIDED")
     assert "MIT" not in {name for _, name, _ in _found(spark, [evil])}
+
+
+def test_long_insertions_are_seen(spark):
+    notice = T._GNU_TERMS.format(thing="program", name="General Public License", version="3")
+    one_line = {"GPL-3.0": "This work is licensed under the GNU General Public License, version 3"}
+    df = spark.createDataFrame([(1, "some words before it. " * 30 + notice + " and some words behind it" * 30)], "doc_id long, text string")
+    (row,) = L.scan(df, one_line).collect()
+    assert (row.license, round(row.coverage * 12)) == ("GPL-3.0", 10)
+    own = "Licensed under, " + "with thanks to everyone who took part, " * 2 + "the Apache License, Version 2.0"
+    assert _found(spark, [own]) == {(0, "Apache-2.0", own)}

@@ -11,7 +11,8 @@ a clause) must each be matched, and where the text has a naming word between the
 no partner, it is another license.
 
 A notice may stand anywhere in a text, and more than once.  Words that a notice cannot do
-without say where to look; around each a window of the template's length is aligned.
+without say where to look; around each a window of the template's length is aligned, and
+widened until the notice is found, or neither its coverage rises nor the window is short.
 """
 
 import re
@@ -27,6 +28,8 @@ TEMPLATES = templates()
 # Words that are telling, by their stems.
 STEMS = ("licens", "permission", "permitted", "redistribut", "reserved", "released")
 COVERAGE = 0.8
+# Windows grow to so many lengths of the template on either side, and on while coverage rises.
+REACH = 4
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _VERSION = re.compile(r"v?([0-9]{1,2}(?:\.[0-9]+)*?)(?:\.0)*")
@@ -179,10 +182,16 @@ def _notices(text, templates, least):
             if seen is not None and size > 50 and at - seen <= template.slack // 4:
                 continue
             seen = at
-            lo, hi = max(0, at - template.slack), min(len(words), at + size + template.slack)
-            pairs = [(lo + i, j) for i, j in align(words[lo:hi], template.words)]
-            if template.stands(words, pairs, least):
-                good.add((-len(pairs), -len(pairs) / size, pairs[0][0], pairs[-1][0], template.name))
+            slack, most = template.slack, 0
+            while True:
+                lo, hi = max(0, at - slack), min(len(words), at + size + slack)
+                pairs = [(lo + i, j) for i, j in align(words[lo:hi], template.words)]
+                if template.stands(words, pairs, least):
+                    good.add((-len(pairs), -len(pairs) / size, pairs[0][0], pairs[-1][0], template.name))
+                    break
+                if (slack >= REACH * size and len(pairs) <= most) or (lo == 0 and hi == len(words)):
+                    break
+                slack, most = 2 * slack, max(most, len(pairs))
     # Windows overlap, and so do templates; of notices that share words the longest stands.
     found, taken = [], set()
     for _, share, first, last, name in sorted(good):
