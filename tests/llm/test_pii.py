@@ -61,6 +61,29 @@ def test_contexts_lead_to_unseen_identifiers(spark):
     assert got[0] == "phone:12:29"
 
 
+def test_found_identifiers_lead_to_further_contexts(spark):
+    """Strings beside "dial" are found by seeds, those beside "after" by what was found beside "dial"."""
+    rows = [(i, f"please dial +1 (743) 555-{1000 + i} tonight") for i in range(20)]
+    rows += [(100 + i, f"please dial 743-555-{2000 + i} after") for i in range(8)]
+    rows += [(200 + i, f"number{i} 743-555-{3000 + i} after") for i in range(3)]
+    rows += [(300, "page 743-555-9998 of the book")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == "phone:12:24" for i in range(100, 108))
+    assert all(got[i] == "phone:8:20" for i in range(200, 203))
+    assert got[300] == ""
+
+
+def test_a_context_half_unseen_is_trusted_and_a_mixed_one_is_not(spark):
+    rows = [(i, f"please dial +1 (743) 555-{1000 + i} w{i}") for i in range(40)]
+    rows += [(100 + i, f"please dial 743-555-{2000 + i} w{100 + i}") for i in range(40)]
+    rows += [(200 + i, f"item +1 (743) 555-{4000 + i} w{200 + i}") for i in range(10)]
+    # Dots make an address, which is no phone.
+    rows += [(300 + i, f"item 210.11.12.{i} w{300 + i}") for i in range(10)] + [(400, "item 743-555-9998 w400")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == "phone:12:24" for i in range(100, 140))
+    assert got[400] == ""
+
+
 def test_scattered_contexts_lead_nowhere(spark, documents, texts):
     added = [r for r in pii.report(documents).collect() if r.spans != _listed(base_spans(texts[r.doc_id]))]
     assert len(added) <= 0.01 * len(texts)

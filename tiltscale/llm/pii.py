@@ -2,8 +2,8 @@
 
 Base spans are what fixed patterns match and checks confirm.  They are the seeds of a
 bootstrap: the words beside them are *patterns*, the strings found beside a pattern its
-*instances*.  Patterns earn trust by the share of their instances that are trusted for a
-kind, instances by the trusted patterns they stand beside, round after round.  Strings of
+*instances*.  Patterns earn trust by the share of trusted ones, for a kind, among the
+instances that can be judged, instances by the trusted patterns they stand beside, round after round.  Strings of
 the right shape that end up trusted are spans as well, though no base pattern knows them.
 
 All of it is DataFrame functions.  Texts are read once; positions, graph and spans come
@@ -203,9 +203,11 @@ def bootstrap(occurrences, rounds=ROUNDS, share=PATTERN_SHARE, support=PATTERN_S
     """``[value, kind, score]``: strings that no base pattern knows and their contexts vouch for.
 
     The graph has an edge for each pattern (the word on the left, or on the right) and
-    distinct string beside it, so copies of a text count once.  A pattern's trust for a
-    kind is the scores of its instances over their number; an instance's is what is left
-    when each of its trusted patterns has had its doubt.
+    distinct string beside it, so copies of a text count once.  Every round, a pattern's
+    trust for a kind is the scores of its instances (seeds, and what was found before) over
+    the number of strings that can be judged: an unseen string of the kind's shape that is not
+    found yet speaks neither for nor against.  An instance's score is what is left when each
+    of its trusted patterns has had its doubt.
     """
     values = occurrences.select("value", "left", "right")
     sides = F.explode(F.array(
@@ -218,18 +220,25 @@ def bootstrap(occurrences, rounds=ROUNDS, share=PATTERN_SHARE, support=PATTERN_S
     value = F.col("value")
     edges = written(edges.select("pattern", "value", _seed_kind(value).alias("seed"), _shape_kinds(value).alias("shapes")), "graph")
 
+    # Strings beside a pattern by what they say of a kind: seeds, those that fit, and the others.
+    fits = F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(F.col("shapes"))
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    seeds = edges.where(F.col("seed").isNotNull()).groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"))
-    seeds = written(seeds.join(sizes, "pattern"), "seeds")
+    counts = edges.select("pattern", "seed", F.explode(fits).alias("kind")).groupBy("pattern", "kind").agg(
+        F.count("seed").alias("seeds"), F.count(F.lit(1)).alias("fits")
+    )
+    counts = counts.where(F.col("fits") >= support).join(sizes, "pattern")
+    counts = written(counts.select("pattern", "kind", "seeds", (F.col("n") - F.col("fits")).alias("others")), "counts")
     unseen = edges.where(F.col("seed").isNull()).select("pattern", "value", F.explode("shapes").alias("kind"))
     found = None
     for _ in range(rounds):
-        trust = seeds
-        gained = F.lit(0.0)
+        trust = counts.withColumns({"hits": F.lit(0), "gained": F.lit(0.0)})
         if found is not None:
-            more = unseen.join(found, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
-            trust, gained = seeds.join(more, ["pattern", "kind"], "left"), F.coalesce("gained", F.lit(0.0))
-        trusted = trust.where(F.col("seeds") >= support).withColumn("trust", F.least((F.col("seeds") + gained) / F.col("n"), F.lit(0.999)))
+            more = unseen.join(found, ["value", "kind"]).groupBy("pattern", "kind")
+            more = more.agg(F.count(F.lit(1)).alias("hits"), F.sum("score").alias("gained"))
+            trust = counts.join(more, ["pattern", "kind"], "left").fillna(0, ["hits", "gained"])
+        known = F.col("seeds") + F.col("hits")
+        share_of = (F.col("seeds") + F.col("gained")) / (known + F.col("others"))
+        trusted = trust.where(known >= support).withColumn("trust", F.least(share_of, F.lit(0.999)))
         trusted = trusted.where(F.col("trust") >= share).select("pattern", "kind", "trust")
         doubt = F.exp(F.sum(F.log(1 - F.col("trust"))))
         scores = unseen.join(trusted, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - doubt).alias("score"))
