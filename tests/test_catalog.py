@@ -68,3 +68,8 @@ def test_messages_are_parsed_once(spark, name):
 def test_prompts_stay_out_of_joins_that_do_not_need_them(spark, no_broadcast):
     plan = plan_of(entry.queries()["result_messages"](spark, FOLDER))
     assert "You are an AI" not in plan
+
+
+def test_shared_captures_equal_sql_without_broadcast(spark, connection, no_broadcast):
+    name = "page_fetch_recaptured"
+    assert compare(entry.queries()[name](spark, FOLDER), connection, entry.oracle_sql()[name]) is None

@@ -1,5 +1,7 @@
 """Each row of the outcome matrix, in every profile."""
 
+import hashlib
+
 import pytest
 
 from tiltscale.operators.fetch import attach_pages
@@ -201,3 +203,25 @@ def test_unreadable_page(spark):
     responses = spark.createDataFrame([("u", "gpt", "r")], "url string, model string, result string")
     found = by_id(answers(requests, pages, recorded(responses), SYNC), "status", "error")
     assert found == {1: (500, "Internal Server Error")}
+
+
+@pytest.mark.parametrize("share", [None, 0.0, 2.0])
+def test_captures_that_share_a_number_answer_once(spark, request, monkeypatch, share):
+    if share is not None:
+        request.getfixturevalue("no_broadcast")
+        monkeypatch.setattr("tiltscale.operators.fetch._MOST_PAGES", share)
+    urls = [f"https://x.org/{i}" for i in range(3)]
+    rows = [(1, urls[0], "<p>a</p>"), (1, urls[0], "<p>a</p>"), (0, urls[0], "<p>old</p>")]
+    rows += [(None, urls[1], f"<p>{i}</p>") for i in range(4)] + [(2, urls[2], "<p>c</p>"), (2, urls[2], "<p>d</p>"), (None, urls[2], "<p>e</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    bodies = spark.createDataFrame([(i, '{"url":"%s","model":"gpt"}' % u) for i, u in enumerate(urls)], "request_id long, body string")
+
+    def least(*texts):
+        return min(texts, key=lambda x: hashlib.md5(x.encode()).hexdigest())
+
+    got = attach_pages(parse_requests(bodies, SYNC), pages, SYNC).collect()
+    assert sorted((r.request_id, r.html) for r in got) == [
+        (0, "<p>a</p>"), (1, least(*(f"<p>{i}</p>" for i in range(4)))), (2, least("<p>c</p>", "<p>d</p>")),
+    ]
+    got = scrape(bodies, pages, SYNC).collect()
+    assert sorted((r.request_id, r.content) for r in got) == [(0, "a"), (1, least(*"0123")), (2, least("c", "d"))]

@@ -57,6 +57,19 @@ def _last_captures(pages):
     return pages.select("url", "page_id").groupBy("url").agg(F.max("page_id").alias("page_id"))
 
 
+def _repeats(pages, last):
+    """Whether some last capture's ``(url, page_id)`` stands in ``pages`` more than once."""
+    counts = pages.select("url", "page_id").groupBy("url", "page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return counts.join(last.select("url", "page_id"), ["url", "page_id"], "left_semi").limit(1).count() > 0
+
+
+def _one_each(captures, keys, column):
+    """One of the captures that share ``keys``: one that came before one that did not, then by the MD5 of ``column``."""
+    best = F.min(F.struct((~F.col("fetched")).alias("missed"), "timed_out", F.md5(column).alias("hash"), column)).alias("best")
+    chosen = captures.groupBy(*keys).agg(best)
+    return chosen.select(*keys, F.col("best")[column].alias(column), (~F.col("best.missed")).alias("fetched"), "best.timed_out")
+
+
 def _profile_by_page(urls, last):
     """The profile of the URLs as one of the pages they lead to.
 
@@ -84,6 +97,9 @@ def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls
       spreads a URL captured very often, and joined by hashing the identifiers,
       so that no HTML is sorted.
 
+    Captures that share the last ``(url, page_id)`` count once.  Whether there are any is
+    asked of the identifiers, so that only tables that have them are grouped.
+
     Of captures laid out by URL, only buckets with a wanted URL are read.
     """
     keyed = requests.withColumn("__url", _good_url(requests))
@@ -98,6 +114,8 @@ def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls
         last = _last_captures(pages)
         placed = lookup(keyed, last.withColumnRenamed("url", "__url"), ["__url"], profile=urls)
         reduced = pages.select(F.col("url").alias("__url"), "page_id", early, *outcome)
+        if _repeats(pages, last):
+            reduced = _one_each(reduced, ["__url", "page_id"], reduced.columns[2])
         by_page = _profile_by_page(urls, last)
         joined = lookup(placed, reduced, ["__url", "page_id"], profile=by_page, measured=["page_id"]).drop("page_id")
         return _mark_fetch(joined, profile).drop("__url", "fetched", "timed_out")
@@ -120,6 +138,8 @@ def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls
 
     # Pages meet the URLs where they are read; only those that are wanted are spread.
     captured = spread(pages.join(last, ["url", "page_id"]), judged=pages).select(F.col("url").alias("__url"), carried, *outcome)
+    if _repeats(pages.select("url", "page_id").join(F.broadcast(wanted), "url", "left_semi") if few else pages, last):
+        captured = _one_each(captured, ["__url"], captured.columns[1])
     joined = lookup(keyed, captured, ["__url"], profile=urls)
     return _mark_fetch(joined, profile).drop("__url", "fetched", "timed_out")
 

@@ -130,6 +130,12 @@ def page_fetch_by_bucket(spark, folder):
     return _fetched(spark, folder, write_captures(_web(spark, folder), _new_folder(spark), buckets=16))
 
 
+@_query
+def page_fetch_recaptured(spark, folder):
+    """The same where captures share URL and number."""
+    return _fetched(spark, folder, derived.from_tables(spark, folder, derived.RECAPTURED))
+
+
 # --- extraction -----------------------------------------------------------------
 
 @_query

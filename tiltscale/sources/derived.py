@@ -81,6 +81,19 @@ from {{documents}}
 # The same with every 23rd missing, for what happens where no answer was recorded.
 RESPONSES = f"{ALL_RESPONSES} where doc_id % 23 <> 0"
 
+# The same pages captured more than once: again as they were, otherwise under the same number,
+# before without a number, and some without a number in all their captures.
+RECAPTURED = f"""
+select case when page_id % 4 = 1 then null else page_id end as page_id, url, html from (
+  {WEB}
+  union all
+  select page_id, url, html from ({WEB}) again where page_id % 3 = 0
+  union all
+  select page_id, url, html || '<p>again</p>' from ({WEB}) otherwise where page_id % 5 = 0
+  union all
+  select cast(null as bigint), url, html || '<p>before</p>' from ({WEB}) before where page_id % 7 = 0
+) captures
+"""
 # Answers of which some were recorded more than once, with other texts or the same.
 REPEATED_RESPONSES = f"""
 {ALL_RESPONSES}
