@@ -117,3 +117,17 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501)], "a long, b long")
     got = {r.cid: r.comp for r in N.components(links).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[501] == 500
+
+
+def test_near_copies_without_an_id_are_linked(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in (0, 99)] + ["nothing like it " * 9, " ".join(f"v{i}" for i in range(50))]
+    texts += [texts[3] + " more"]
+    groups, _ = near_groups(texts, 5, 80)
+    assert groups[1] == groups[0] and groups[4] == groups[3] and groups[2] == 2
+    ids = [7, None, 9, None, None]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    rows = [(r.doc_id, r.component_id) for r in N.near_duplicates(docs).collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, [(7, 7), (None, 7), (9, 9), (None, None), (None, None)]))
+    kept = [(r.doc_id, r.text) for r in N.without_duplicates(docs).collect()]
+    assert len(kept) == 3 and {(7, texts[0]), (9, texts[2])} <= set(kept)

@@ -267,21 +267,25 @@ def _list_residue(long_lists, comps, classes, sets, percent):
 
 
 def _class_sets(docs, wanted, k, key, text):
-    """``[cid, own]``: the full sets of the classes in ``wanted``, ``[cid, doc_id, set_id]``, read from their texts."""
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """``[cid, own]``: the full sets of the classes in ``wanted``, ``[cid, source, set_id]``, read from their texts.
+
+    ``source`` tells a row by its doc_id, which may be null, and the hash of its text.
+    """
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
     def hashed(batches):
         for batch in batches:
             cids, sets = [], []
             for cid, set_id, words in zip(batch.column(0), batch.column(1), batch.column(2)):
                 own = shingle_set(words.as_py(), k, _worker_words())
-                # Another text may stand under the same doc_id.
+                # Another text may have the same hash.
                 if len(own) and _set_id(own) == set_id.as_py():
                     cids.append(cid.as_py())
                     sets.append(np.unique(own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "own"])
 
-    read = slim.join(wanted, "doc_id").select("cid", "set_id", "text").mapInArrow(hashed, "cid long, own binary")
+    same = slim["doc_id"].eqNullSafe(wanted["source.doc_id"]) & (slim["text_hash"] == wanted["source.text_hash"])
+    read = slim.join(wanted, same).select("cid", "set_id", "text").mapInArrow(hashed, "cid long, own binary")
     return read.dropDuplicates(["cid"])
 
 
@@ -292,7 +296,9 @@ def _grouped(docs, k, percent, key, text):
     classes = (
         rows.where(F.col("set_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("postings").alias("postings"))
+        .agg(
+            F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("source"), F.first("postings").alias("postings")
+        )
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = written(classes, "classes")
@@ -312,7 +318,7 @@ def _grouped(docs, k, percent, key, text):
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     residue_ids = long_lists.select("cid").distinct()
     ids = wanted.union(residue_ids).distinct()
-    sets = written(_class_sets(docs, classes.join(ids, "cid").select("cid", "doc_id", "set_id"), k, key, text), "sets")
+    sets = written(_class_sets(docs, classes.join(ids, "cid").select("cid", "source", "set_id"), k, key, text), "sets")
 
     links = written(_confirmed(first, sets, percent), "links")
     comps = components(links)
