@@ -108,3 +108,16 @@ def test_blocks_of_queries_and_rows(spark, embeddings, monkeypatch):
     got = _by_query(metric_topk.top_products(embeddings, 3, "vec_id % 20 = 0").collect())
     for at in np.flatnonzero(ids % 20 == 0):
         assert got[ids[at]] == _best(ids, whole @ whole[at], ids[at], 3)
+
+
+@pytest.mark.parametrize("search", [ann.nearest, metric_topk.top_products])
+def test_an_id_over_many_vectors_counts_once(spark, search):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(8)] + [(2 + i, [0.5, 0.1 * i + 0.1]) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = _by_query(search(df, 5, "vec_id = 0").collect())[0]
+    assert len({i for i, _ in got}) == 5 and got[0][0] == 1
+    if search is ann.nearest:
+        assert {i for i, _ in got} == {1, 2, 3, 4, 5}
+    else:
+        # Each of the others has the same product; the lesser ids stand.
+        assert [i for i, _ in got] == [1, 2, 3, 4, 5]

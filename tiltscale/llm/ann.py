@@ -94,6 +94,8 @@ def _search(codes, k):
             lengths, own = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", q, q))
             words, probes = codes.words(_unit(x)), codes.words(_unit(q))
             index = Index(words)
+            names, name = np.unique(ids, return_inverse=True)
+            shared = len(names) < len(ids)
             for at in range(0, len(q), _QUERIES_AT_ONCE):
                 some = slice(at, at + _QUERIES_AT_ONCE)
                 others = asked[some, None] != ids[None, :]
@@ -103,14 +105,21 @@ def _search(codes, k):
                 apart[a, b] = np.bitwise_count(probes[some][a] ^ words[b]).sum(axis=1)
                 hit &= apart <= codes.radius
                 # A query with too few finds takes its nearest codes, however far they are.
-                for i in np.flatnonzero(hit.sum(axis=1) < k):
+                finds = np.array([len(np.unique(name[h])) for h in hit]) if shared else hit.sum(axis=1)
+                for i in np.flatnonzero(finds < k):
                     far = np.where(others[i], np.bitwise_count(probes[some][i] ^ words).sum(axis=1), np.iinfo(np.int64).max)
-                    reach = np.sort(far)[min(k, int(others[i].sum())) - 1] if others[i].any() else -1
+                    # Rows that share an id are as near as the nearest of them.
+                    least = np.full(len(names), far.max(), far.dtype)
+                    np.minimum.at(least, name, far)
+                    reach = np.sort(least)[min(k, len(np.unique(name[others[i]]))) - 1] if others[i].any() else -1
                     hit[i] = others[i] & (far <= reach)
                 a, b = np.nonzero(hit)
                 score = np.einsum("ij,ij->i", q[some][a], x[b]) / (own[some][a] * lengths[b])
                 order = np.lexsort((ids[b], -score, a))
                 a, b, score = a[order], b[order], score[order]
+                if shared:
+                    once = ~pd.DataFrame({"a": a, "name": name[b]}).duplicated().to_numpy()
+                    a, b, score = a[once], b[once], score[once]
                 place = np.arange(len(a)) - np.searchsorted(a, a)
                 keep = place < k
                 out.append(pd.DataFrame({"query_id": asked[some][a[keep]], "vec_id": ids[b[keep]], "score": score[keep]}))

@@ -76,12 +76,12 @@ class Tree:
         self.pages[number] = (False, centres, self._apart(centres, centre), np.array(radii), children)
         return number
 
-    def search(self, query, k, score, distance, allowed):
+    def search(self, query, k, score, distance, allowed, ids=None):
         """The ``k`` best places of ``order``, with those that tie with the last: ``[(score, place)]``.
 
         ``query`` is in the tree's space.  ``score`` takes a slice or an array of places,
         ``distance`` gives the distance that a score stands for, and ``allowed`` marks places
-        that may be found.
+        that may be found.  Places of equal ``ids`` count once, with the best score.
         """
         found, last, worst = [], -np.inf, np.inf
 
@@ -109,6 +109,12 @@ class Tree:
                     found += zip(scores[good].tolist(), places[good].tolist())
                     if len(found) >= k:
                         found.sort(key=lambda x: -x[0])
+                        if ids is not None:
+                            once = {}
+                            for x in found:
+                                once.setdefault(ids[x[1]], x)
+                            found = list(once.values())
+                    if len(found) >= k:
                         last = found[k - 1][0]
                         found = [x for x in found if x[0] >= last]
                         worst = distance(last)
@@ -133,6 +139,7 @@ def _search(k):
             scale = max(1.0, float(np.sqrt(top)), float(np.sqrt(lengths.max())))
             tree = Tree(np.hstack([x, np.sqrt(np.maximum(0, top - norms))[:, None]]) / scale)
             ids, own = rows["vec_id"].to_numpy()[tree.order], x[tree.order]
+            shared = ids if len(np.unique(ids)) < len(ids) else None
             # Whole numbers: doubles hold their products exactly up to 2**53, integers beyond.
             if max(top, lengths.max()) >= 2.0**52:
                 own, q = own.astype(np.int64), q.astype(np.int64)
@@ -142,7 +149,7 @@ def _search(k):
                 def distance(score, length=lengths[i]):
                     return np.sqrt(max(0.0, length + top - 2.0 * score)) / scale
 
-                for s, place in tree.search(query, k, lambda at, v=q[i]: own[at] @ v, distance, ids != asked[i]):
+                for s, place in tree.search(query, k, lambda at, v=q[i]: own[at] @ v, distance, ids != asked[i], shared):
                     out.append((asked[i], ids[place], int(s)))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
