@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from tiltscale.llm import ann, hilbert, language_id, licenses, metric_topk, near_dup, packing, pii, segmentation, token_store
+from tiltscale.llm import (
+    ann,
+    hilbert,
+    language_id,
+    licenses,
+    metric_topk,
+    near_dup,
+    packing,
+    periodic_runs,
+    pii,
+    secret_scan,
+    segmentation,
+    token_alignment,
+    token_store,
+)
 from tiltscale.llm.common import scratch, table
 
 
@@ -50,6 +64,18 @@ def op10_metric_tree_topk(spark, sf_dir):
     return metric_topk.top_products(table(spark, sf_dir, "embeddings"), k=5, is_query="vec_id % 50 = 0", scale=256)
 
 
+def op11_token_alignment(spark, sf_dir):
+    return token_alignment.report(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark, sf_dir):
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -61,6 +87,9 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_license_alignment": op9_license_alignment,
     "op10_metric_tree_topk": op10_metric_tree_topk,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES = {}
