@@ -63,6 +63,7 @@ def test_html_is_not_shuffled_when_most_pages_are_wanted(spark, no_broadcast):
 def test_messages_are_parsed_once(spark, name):
     plan = plan_of(entry.queries()[name](spark, FOLDER))
     assert plan.count("from_json(StructField(whole,StructType") == 1
+    assert plan.count("from_json") == 2
 
 
 def test_prompts_stay_out_of_joins_that_do_not_need_them(spark, no_broadcast):

@@ -1,12 +1,15 @@
 """Input that does not fit is refused by name, wherever it comes in."""
 
 import hashlib
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tiltscale import schemas
 from tiltscale.fixed_values import KNOWN_MODELS, PROMPTS
+from tiltscale.functions.text import decoded as decoded_fields
 from tiltscale.operators import messages, rating, tables
 from tiltscale.operators.fetch import attach_pages
 from tiltscale.operators.intake import parse_requests
@@ -33,7 +36,10 @@ def _values(spark, *texts):
 GOOD = '{"url":"u","model":"gpt","result":"r","score":1.5}'
 
 
-@pytest.mark.parametrize("tail", [" junk", "{}", GOOD, "]", "] {}", ",", '"x"', "}"])
+TAILS = [" junk", "{}", GOOD, "]", "] {}", ",", '"x"', "}", ',"z":2', ',"end":1}', "],[{}", "],[", ":1", "\x00"]
+
+
+@pytest.mark.parametrize("tail", TAILS)
 def test_what_follows_an_object_makes_it_malformed(spark, tail):
     df = _values(spark, GOOD, GOOD + " \n", GOOD + tail)
     assert messages.decode_results(df).count() == 2
@@ -42,6 +48,42 @@ def test_what_follows_an_object_makes_it_malformed(spark, tail):
     assert {r.request_id: r.status for r in parse_requests(bodies, SYNC).collect()} == {1: None, 2: 400}
 
 
+def _object(text):
+    """The object that a text is, for a parser that reads it whole; else None."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def test_only_texts_that_are_one_object_decode(spark):
+    """Random texts around what a request, a list and the places it is parsed in look like."""
+    rng = random.Random(11)
+    parts = [
+        "{", "}", "[", "]", ",", ":", '"url"', '"model"', '"end"', '"whole"', "1", "null", " ", '"u"', '{"url":"u"}', '"url":"a"',
+        '"end":1', ',"end":1}', '1,"whole":', "],[", '"\\u0075rl"', "'url'", "//", "true", "-1", '"__nothing":2',
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(4000)]
+    texts += [a + t + b for t in ('{"url":"u"}', '{"model":null}', "{}") for a in parts for b in parts]
+    members = ['"url":"a"', '"url":null', '"model":1', '"end":1', '"whole":{"url":"x"}', '"\\u0075rl":"z"', '"temperature":0.5', '"url":7']
+    texts += ["{" + ",".join(rng.sample(members, rng.randint(0, 4))) + rng.choice(["}", "}", "},", ""]) for _ in range(500)]
+    bodies = spark.createDataFrame(list(enumerate(texts)), "request_id long, body string")
+    decoded = {r.request_id: r for r in bodies.select("request_id", decoded_fields("body", schemas.REQUEST_BODY)).collect()}
+    assert len(decoded) == len(texts)
+    goods = 0
+    for i, text in enumerate(texts):
+        found, keys = _object(text), decoded[i]["__keys"]
+        assert (found is None) == (keys is None), text
+        if found is not None:
+            goods += 1
+            assert {k for k in ("url", "model") if k in keys} >= {k for k in ("url", "model") if k in found}, text
+            assert isinstance(found.get("url"), (dict, list)) or decoded[i].url in (found.get("url"), str(found.get("url"))) or (
+                decoded[i].url == json.dumps(found.get("url"))
+            ), text
+    assert goods > 100
+
+
 @pytest.mark.parametrize(
     "score, good", [("1.5", 1.5), ('"1.5"', 1.5), ("null", None), ('"high"', "bad"), ("[1]", "bad"), ("{}", "bad"), ("true", "bad")]
 )

@@ -8,39 +8,55 @@ _STRIPPED = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _KEPT = r"(?U)[^\s\x1c-\x1f]"
 
 
-def decoded(text, schema):
-    """Generator of the fields of a JSON object, all null where the text is not just one.
+# The forms of JSON that the standard does not have stay errors.
+_STRICT = {"allowSingleQuotes": "false"}
+# Where ``decoded`` puts the key names of a message.
+KEYS = "__keys"
 
-    A filter on the fields of a plain ``from_json`` is pushed below it, and the
-    text is then parsed once for the filter's every mention of a field.  Nothing
-    is pushed through a generator, so here it is parsed once.
-    """
-    return F.inline(F.transform(F.array(_wrapped(text, schema)), _whole))
 
+def decoded(text, schema, *raw):
+    """Generator of the fields of a JSON object, of ``__keys``, and of ``<name>_text`` for each of ``raw``.
+
+    All are null where the text is not one JSON object and nothing else.  Spark stops at the end
+    of a value and ignores what follows, so the text is parsed in two places at once: as the
+    member of an object that goes on behind it, and as the only item of a list.  What closes
+    the one early, or goes on behind the value, is an error in the other, or a second item.
 
-def _wrapped(text, schema):
-    """The text parsed as a member of an object that goes on behind it.
+    ``__keys`` holds at least the fields that are there, be it with a null; only a message with a
+    field that came out null is asked for its keys, and only where the field came out null is
+    ``<name>_text``, what stands there instead, not null.
 
-    Spark stops at the end of a value and ignores what follows; here what follows has
-    to be the next member, so junk behind the object, or a second one, is an error.
+    A filter on the fields of a plain ``from_json`` is pushed below it, and the text is then
+    parsed once for the filter's every mention of a field.  Nothing is pushed through a
+    generator, so here all of it happens once.
     """
-    kind = schema if isinstance(schema, str) else schema.simpleString()
     text = F.col(text) if isinstance(text, str) else text
-    return F.from_json(F.concat(F.lit('{"whole":'), text, F.lit(',"end":1}')), f"whole {kind}, end int")
-
-
-def _whole(parsed):
-    return F.when(parsed["end"] == 1, parsed["whole"])
-
-
-def json_members(text):
-    """Members of a text that is one JSON object, as texts by key; null where it is not."""
-    return F.get(F.transform(F.array(_wrapped(text, "map<string,string>")), _whole), F.lit(0))
-
-
-def json_keys(text):
-    """Key names of a text that is one JSON object; null where it is not."""
-    return F.map_keys(json_members(text))
+    wrapped = F.concat(F.lit('{"whole":'), text, F.lit(',"end":1}'))
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    contexts = F.struct(
+        F.from_json(wrapped, f"whole {schema.simpleString()}, end int", _STRICT).alias("member"),
+        # The items are looked at, but nothing in them is read.
+        F.from_json(listed, "array<struct<__nothing: int>>", _STRICT).alias("items"),
+    )
+    names = schema.fieldNames()
+
+    def fields(parsed):
+        whole = parsed["member"]["whole"]
+        single = (F.size(parsed["items"]) == 1) & F.get(parsed["items"], F.lit(0)).isNotNull()
+        good = (parsed["member"]["end"] == 1) & whole.isNotNull() & single
+        missing = F.lit(False)
+        for name in names:
+            missing = missing | whole[name].isNull()
+        keys = F.when(missing, F.json_object_keys(text)).otherwise(F.array(*map(F.lit, names)))
+        texts = [F.when(whole[n].isNull(), F.get_json_object(text, f"$.{n}")).alias(f"{n}_text") for n in raw]
+        return F.when(good, F.struct(*[whole[n].alias(n) for n in names], keys.alias(KEYS), *texts))
+
+    return F.inline(F.transform(F.array(contexts), fields))
+
+
+def has_key(name):
+    """Whether a message has the key, be it with a null; false where it is no object."""
+    return F.coalesce(F.array_contains(KEYS, name), F.lit(False))
 
 
 def strip(text):

@@ -3,44 +3,29 @@
 from pyspark.sql import functions as F
 
 from tiltscale.fixed_values import NO_URL
-from tiltscale.functions.text import decoded, json_keys
+from tiltscale.functions.text import decoded, has_key
 from tiltscale.plans.profiles import SYNC
 from tiltscale.schemas import REQUEST_BODY
 
 
-def _has(name):
-    """Whether the body has the key, be it with a null.
-
-    The keys are only parsed where the field came out null and the text may hold
-    its name; with a backslash the name could be escaped.
-    """
-    body = F.col("body")
-    parsed = F.array_contains(json_keys(body), name)
-    return (
-        F.when(F.col(name).isNotNull(), True)
-        .when(~F.contains(body, F.lit(name)) & ~F.contains(body, F.lit("\\")), False)
-        .otherwise(F.coalesce(parsed, F.lit(False)))
-    )
-
-
 def parse_requests(requests, profile=SYNC):
     """``[request_id, body]`` → ``[request_id, url, model, temperature, status, error]``.
 
     Defaults stand in for keys that are absent, not for nulls.  ``status`` and
     ``error`` stay null while a request is still good.
     """
-    fields = requests.select("request_id", "body", decoded("body", REQUEST_BODY))
+    fields = requests.select("request_id", decoded("body", REQUEST_BODY))
     url = F.col("url")
-    missing = ~_has("url")
+    missing = ~has_key("url")
     if profile.empty_url_is_missing:
         missing = missing | url.isNull() | (url == "")
 
     model = F.col("model")
     if profile.default_model is not None:
-        model = F.when(~_has("model"), profile.default_model).otherwise(model)
+        model = F.when(~has_key("model"), profile.default_model).otherwise(model)
     temperature = F.lit(profile.default_temperature)
     if profile.temperature_in_request:
-        temperature = F.when(~_has("temperature"), temperature).otherwise(F.col("temperature"))
+        temperature = F.when(~has_key("temperature"), temperature).otherwise(F.col("temperature"))
 
     return fields.select(
         "request_id",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tiltscale.functions.score import parse_number
-from tiltscale.functions.text import decoded, json_keys, json_members
+from tiltscale.functions.text import KEYS, decoded, has_key
 from tiltscale.operators.rating import is_known_model
 from tiltscale.schemas import ARTICLE, RESULT
 
@@ -22,25 +22,20 @@ def to_result_messages(results):
     return results.select(_message("url", "model", "result", "score"))
 
 
-def _with_fields(messages, schema, keep):
+def _with_fields(messages, schema, keep, *raw):
     value = F.col("value").cast("string")
-    return messages.select(*keep, value.alias("value")).select(*keep, "value", decoded("value", schema))
+    return messages.select(*keep, value.alias("value")).select(*keep, "value", decoded("value", schema, *raw))
 
 
 def _with_result_fields(messages, keep):
-    """Result fields, and ``score_text``: what stands for a score that did not decode as a number.
-
-    The message is only parsed again for the text where the number is missing.
-    """
-    fields = _with_fields(messages, RESULT, keep)
-    text = F.when(F.col("score").isNull(), F.element_at(json_members("value"), "score"))
-    fields = fields.withColumn("score_text", text)
+    """Result fields, and ``score_text``: what stands for a score that did not decode as a number."""
+    fields = _with_fields(messages, RESULT, keep, "score")
     return fields.withColumn("score", F.coalesce("score", parse_number(F.col("score_text"))))
 
 
 def decode_articles(messages, *keep):
-    """``[value]`` → ``[content, model, url]``; all null where it is no object."""
-    return _with_fields(messages, ARTICLE, keep).drop("value")
+    """``[value]`` → ``[content, model, url]``; all null where it is not one object and nothing else."""
+    return _with_fields(messages, ARTICLE, keep).drop("value", KEYS)
 
 
 def article_rejects(messages, *keep):
@@ -48,24 +43,15 @@ def article_rejects(messages, *keep):
     content, model = F.col("content"), F.col("model")
     empty = content.isNull() | (content == "") | model.isNull() | (model == "")
     left_out = _with_fields(messages, ARTICLE, keep).where(empty | ~is_known_model(model))
-    reason = (
-        F.when(~empty, "unknown model").when(json_keys("value").isNull(), "malformed").otherwise("nothing to rate")
-    )
+    reason = F.when(~empty, "unknown model").when(F.col(KEYS).isNull(), "malformed").otherwise("nothing to rate")
     return left_out.select(*keep, "value", reason.alias("reason"))
 
 
 def _has_all_keys(schema):
-    """Whether every field's key is there.
-
-    The message is only parsed a second time where a field came out null, to tell
-    a null value from a missing key.
-    """
-    names = schema.fieldNames()
-    filled = F.lit(True)
-    for name in names:
-        filled = filled & F.col(name).isNotNull()
-    present = F.size(F.array_intersect(json_keys("value"), F.array(*map(F.lit, names)))) == len(names)
-    return F.when(filled, True).otherwise(F.coalesce(present, F.lit(False)))
+    present = F.lit(True)
+    for name in schema.fieldNames():
+        present = present & has_key(name)
+    return present
 
 
 def _bad_score():
@@ -82,6 +68,6 @@ def decode_results(messages, *keep):
 def result_rejects(messages, *keep):
     """Result messages that are no object, lack a key, or whose score is no number: ``[value, reason]``."""
     whole = _has_all_keys(RESULT)
-    reason = F.when(whole, "bad score").when(json_keys("value").isNull(), "malformed").otherwise("missing key")
+    reason = F.when(whole, "bad score").when(F.col(KEYS).isNull(), "malformed").otherwise("missing key")
     rejected = _with_result_fields(messages, keep).where(~whole | _bad_score())
     return rejected.select(*keep, "value", reason.alias("reason"))

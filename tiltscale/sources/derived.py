@@ -159,6 +159,10 @@ select doc_id,
       9: """'null'""",
       10: f"""'{{"content":"c","model":"gpt","url":"u/' || {_DOC} || '"}} and more'""",
       11: f"""'{{"content":"c","model":"gpt","url":"u/' || {_DOC} || '"}}{{"content":"d"}}'""",
+      12: f"""'{{"content":"c","model":"gpt","url":"u/' || {_DOC} || '"}},"z":2'""",
+      13: f"""'1,"whole":{{"content":"c","model":"gpt","url":"u/' || {_DOC} || '"}}'""",
+      14: f"""'{{"content":"c","model":"gpt","url":"u/' || {_DOC} || '"}},"end":1}}'""",
+      15: f"""'{{"content":"c","model":"gpt","url":"u/' || {_DOC} || '"}}],[{{}}'""",
   }, f'''\'{{"url":"\' || source || \'/\' || {_DOC} || \'","content":\' || {{quoted text}} || \',"model":"\' || {_MODEL} || \'"}}\'''')} as value
 from {{documents}}
 """
@@ -171,7 +175,7 @@ select doc_id,
       2: f"""'{{"url":"u/' || {_DOC} || '","model":"gpt","result":null,"score":-999}}'""",
       3: "'{broken'",
       4: f"""'{{"url":"u/' || {_DOC} || '","model":"gemini","result":"r","score":"' || case when doc_id % 2 = 0 then 'NaN' else 'high' end || '"}}'""",
-      5: f"""'{{"url":"u/' || {_DOC} || '","model":"gpt","result":"r","score":' || {_case("doc_id % 4", {0: "'[1]'", 1: "'1}x'", 2: "'null'"}, "'1}{'")} || '}}'""",
+      5: f"""'{{"url":"u/' || {_DOC} || '","model":"gpt","result":"r","score":' || {_case("doc_id % 8", {0: "'[1]'", 1: "'1}x'", 2: "'null'", 4: """'1},"z":{'""", 5: """'1},"end":1}'""", 6: "'1}],[{'"}, "'1}{'")} || '}}'""",
   }, f'''\'{{"url":"u/\' || {_DOC} || \'","model":"claude","result":"r\' || {_DOC} || \'","score":\' || {_SCORE} || \'}}\'''')} as value
 from {{documents}}
 """
