@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tiltscale import schemas
@@ -17,7 +18,7 @@ from tiltscale.operators.lookup import spread_small_input
 from tiltscale.plans import requests as plans
 from tiltscale.plans.profiles import ASYNC, LEGACY_ASYNC, LEGACY_SYNC, SYNC
 from tiltscale.session import bound_arrow_batches, shared_folder
-from tiltscale.sources import derived
+from tiltscale.sources import committed, derived
 from tiltscale.sources.captures import write_captures
 from tiltscale.sources.messages import publish, read_articles, read_messages, read_messages_batch
 from tiltscale.sources.sinks import append_results, write_once
@@ -507,6 +508,43 @@ def storage_stream(spark, folder):
     return spark.read.schema(schemas.STORED_RESULT).parquet(f"{base}/stored")
 
 
+class _Interrupted(Exception):
+    """A job's end at a bad moment."""
+
+
+@_query
+def storage_stream_replayed(spark, folder):
+    """The same from a job that ends once after writing and once half-way, and repeats a whole batch."""
+    base = _new_folder(spark)
+    path = _message_files(spark, _result_messages(spark, folder), base)
+
+    def run(store):
+        job = jobs.committed_storage_job(
+            read_messages(spark, "text", path), f"{base}/checkpoint", f"{base}/stored", jobs.DRAIN, store
+        )
+        job.awaitTermination()
+
+    def unpublished(batch, path, number):
+        committed.write_attempt(batch, path, number)
+        raise _Interrupted
+
+    def half(batch, path, number):
+        committed.write_attempt(batch.where(F.xxhash64("url") % 2 == 0), path, number)
+        raise _Interrupted
+
+    def twice(batch, path, number):
+        committed.commit_batch(batch, path, number)
+        committed.commit_batch(batch, path, number)
+
+    for store in (unpublished, half):
+        try:
+            run(store)
+        except StreamingQueryException:
+            pass
+    run(twice)
+    return committed.read_committed(spark, f"{base}/stored", schemas.STORED_RESULT).drop("batch")
+
+
 @_query
 def intake_stream(spark, folder):
     base = _new_folder(spark)

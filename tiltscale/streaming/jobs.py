@@ -16,7 +16,9 @@ from tiltscale.operators.rating import rate_articles
 from tiltscale.operators.tables import to_stored_results
 from tiltscale.plans.profiles import ASYNC
 from tiltscale.plans.requests import accepted_articles, acknowledgements, scrape
+from tiltscale.sources.committed import commit_batch
 from tiltscale.sources.messages import publish_stream
+from tiltscale.sources.sinks import append_missing
 
 # Work off everything that is there, then stop.
 DRAIN = {"availableNow": True}
@@ -47,23 +49,29 @@ def storage_job(result_messages, checkpoint, path, trigger=None):
     return _to_table(to_stored_results(decode_results(result_messages)), checkpoint, path, trigger)
 
 
+def committed_storage_job(result_messages, checkpoint, path, trigger=None, store=commit_batch):
+    """Append the result stream to a table of numbered batches, each of which counts once.
+
+    A micro-batch that is repeated, after whatever failure, is read once; see
+    ``sources.committed``.  ``read_committed`` reads the table while it grows.
+    """
+    rows = to_stored_results(decode_results(result_messages))
+    return _each_batch(rows, checkpoint, trigger, lambda batch, number: store(batch, path, number))
+
+
 def jdbc_storage_job(result_messages, checkpoint, trigger=None, **jdbc):
-    """Append the result stream to a database table.
+    """Append the result stream to a database table, which has ``batch`` and ``row_key`` as well.
 
-    A micro-batch that fails half-way is appended again, so delivery is at least
-    once.
+    Each partition's rows go in with one transaction.  A micro-batch that is repeated first asks
+    the table for the keys of its number, and appends what is missing.
     """
 
-    def append(batch, _batch_id):
-        batch.write.format("jdbc").options(**jdbc).mode("append").save()
+    def append(batch, number):
+        held = f"(select batch, row_key from {jdbc['dbtable']} where batch = {int(number)}) held"
+        stored = batch.sparkSession.read.format("jdbc").options(**{**jdbc, "dbtable": held}).load()
+        append_missing(batch, stored, number, "jdbc", **jdbc)
 
-    return (
-        to_stored_results(decode_results(result_messages))
-        .writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
-    )
+    return _each_batch(to_stored_results(decode_results(result_messages)), checkpoint, trigger, append)
 
 
 def intake_job(requests, pages, checkpoint, folder, publish, profile=ASYNC, trigger=None):
@@ -89,8 +97,13 @@ def intake_job(requests, pages, checkpoint, folder, publish, profile=ASYNC, trig
             f"{folder}/acknowledgements/batch={batch_id}"
         )
 
+    return _each_batch(requests, checkpoint, trigger, scrape_batch)
+
+
+def _each_batch(rows, checkpoint, trigger, work):
+    """Start a query that does ``work(batch, number)`` for each micro-batch."""
     return (
-        requests.writeStream.foreachBatch(scrape_batch)
+        rows.writeStream.foreachBatch(lambda batch, number: work(batch, number) and None)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
