@@ -9,14 +9,14 @@ from tiltscale.functions.html_blocks import select_blocks
 from tiltscale.functions.source import block_class, block_element, identify_source
 from tiltscale.functions.text import article_text, is_blank
 from tiltscale.operators.lookup import broadcast_bytes, key_hash, lookup, profile_keys, spread_small_input
-from tiltscale.sources.captures import near
+from tiltscale.sources.captures import NO_PAGE_ID, count_last, indexed_last, near
 
 
 # From this share of wanted pages on, parsing all of them in place costs less
 # than shuffling the HTML of the wanted ones.
 _MOST_PAGES = 0.25
-# Stands for a page_id that is null.
-_NO_PAGE_ID = -(2**63)
+# Bytes of a broadcast identifier beside those of its URL.
+_ROW_OVERHEAD = 80
 
 
 def _good_url(requests):
@@ -52,22 +52,36 @@ def _mark_fetch(requests, profile):
     })
 
 
-def _last_captures(pages):
-    """``[url, page_id]`` of the last capture of each URL, settled on identifiers alone."""
-    return pages.select("url", "page_id").groupBy("url").agg(F.max("page_id").alias("page_id"))
+def _repeats(last):
+    """``[url, page_id]`` of last captures that share their number with others, or None where none do.
 
+    Ready for a join that sorts nothing: broadcast where they are few.
+    """
+    repeated = last.where("n > 1").select("url", "page_id")
+    row = repeated.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("url")).alias("size")).first()
+    if not row.n:
+        return None
+    few = row.n * _ROW_OVERHEAD + (row.size or 0) <= broadcast_bytes(last.sparkSession)
+    return F.broadcast(repeated) if few else repeated.hint("shuffle_hash")
 
-def _repeats(pages, last):
-    """Whether some last capture's ``(url, page_id)`` stands in ``pages`` more than once."""
-    counts = pages.select("url", "page_id").groupBy("url", "page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return counts.join(last.select("url", "page_id"), ["url", "page_id"], "left_semi").limit(1).count() > 0
 
+def _one_each(captures, keys, column, repeated):
+    """One of the captures that share ``keys``: one that came before one that did not, then by the MD5 of ``column``.
 
-def _one_each(captures, keys, column):
-    """One of the captures that share ``keys``: one that came before one that did not, then by the MD5 of ``column``."""
-    best = F.min(F.struct((~F.col("fetched")).alias("missed"), "timed_out", F.md5(column).alias("hash"), column)).alias("best")
-    chosen = captures.groupBy(*keys).agg(best)
-    return chosen.select(*keys, F.col("best")[column].alias(column), (~F.col("best.missed")).alias("fetched"), "best.timed_out")
+    Single captures pass as they are.  Of the others the best hash is found first, without what was
+    hashed; copies that share it are told apart by nothing, and are made one by hashing them.
+    """
+    if repeated is None:
+        return captures
+    repeated = repeated.withColumnRenamed("url", "__url").select(*keys)
+    # The second hash tells texts apart that were made to share the first.
+    named = captures.withColumn("__hash", F.concat_ws("/", F.md5(column), F.sha2(column, 256)))
+    several = named.join(repeated, keys, "left_semi")
+    rank = F.struct((~F.col("fetched")).alias("missed"), "timed_out", "__hash")
+    best = several.groupBy(*keys).agg(F.min(rank).alias("best"))
+    best = best.select(*keys, (~F.col("best.missed")).alias("fetched"), "best.timed_out", "best.__hash")
+    chosen = several.join(best.hint("shuffle_hash"), [*keys, "fetched", "timed_out", "__hash"], "left_semi")
+    return captures.join(repeated, keys, "left_anti").unionByName(chosen.drop("__hash").distinct())
 
 
 def _profile_by_page(urls, last):
@@ -84,7 +98,7 @@ def _profile_by_page(urls, last):
     return replace(urls, hot=tuple((page, rows[url]) for url, page in pages))
 
 
-def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls=None):
+def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls=None, index=None):
     """Requests with ``carried``, a column over the last capture of their URL.
 
     ``carried`` may use ``needs_text``, which says whether any request of the URL
@@ -98,24 +112,30 @@ def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls
       so that no HTML is sorted.
 
     Captures that share the last ``(url, page_id)`` count once.  Whether there are any is
-    asked of the identifiers, so that only tables that have them are grouped.
+    asked of the identifiers, and only those are grouped.
+
+    Of captures laid out by URL, only buckets with a wanted URL are read.  ``index``, of
+    ``sources.captures.write_index``, says which capture is the last, so that no column of
+    identifiers is read for that.
 
-    Of captures laid out by URL, only buckets with a wanted URL are read.
+    Jobs run while the plan is built: one over the keys of the requests, unless ``urls`` is their
+    profile, one over the last captures, and with laid out tables one for their buckets.
     """
     keyed = requests.withColumn("__url", _good_url(requests))
     pages = near(pages, keyed, "__url")
     # A capture without a number comes before all others, and counts if it is the only one.
-    pages = pages.withColumn("page_id", F.coalesce("page_id", F.lit(_NO_PAGE_ID)))
+    pages = pages.withColumn("page_id", F.coalesce("page_id", F.lit(NO_PAGE_ID)))
     urls = urls or profile_keys(requests, ["url"])
     size = urls.key_bytes + 8 * urls.keys
     few = size <= broadcast_bytes(pages.sparkSession)
     outcome = _fetch_outcome(pages)
+    all_last = count_last(pages) if index is None else indexed_last(near(index, keyed, "__url"))
     if early is not None and not few and urls.keys >= _MOST_PAGES * pages.count():
-        last = _last_captures(pages)
+        repeated = _repeats(all_last)
+        last = all_last.drop("n")
         placed = lookup(keyed, last.withColumnRenamed("url", "__url"), ["__url"], profile=urls)
         reduced = pages.select(F.col("url").alias("__url"), "page_id", early, *outcome)
-        if _repeats(pages, last):
-            reduced = _one_each(reduced, ["__url", "page_id"], reduced.columns[2])
+        reduced = _one_each(reduced, ["__url", "page_id"], reduced.columns[2], repeated)
         by_page = _profile_by_page(urls, last)
         joined = lookup(placed, reduced, ["__url", "page_id"], profile=by_page, measured=["page_id"]).drop("page_id")
         return _mark_fetch(joined, profile).drop("__url", "fetched", "timed_out")
@@ -126,27 +146,32 @@ def _attach(requests, pages, profile, carried, early=None, needs_text=None, urls
         .agg((F.lit(True) if needs_text is None else F.bool_or(needs_text)).alias("needs_text"))
     )
     if few:
-        found = pages.select("url", "page_id").join(F.broadcast(wanted), "url")
-        last = F.broadcast(found.groupBy(*wanted.columns).agg(F.max("page_id").alias("page_id")))
+        if index is None:
+            all_last = count_last(pages.join(F.broadcast(wanted), "url", "left_semi"))
+        wanted_last = F.broadcast(all_last.join(F.broadcast(wanted), "url"))
         spread = spread_small_input
     else:
         # Neither side of this join has a URL twice, and both are partitioned by it.
-        last = _last_captures(pages).join(wanted, "url").hint("shuffle_hash")
+        wanted_last = all_last.join(wanted, "url").hint("shuffle_hash")
 
         def spread(df, judged):
             return df
 
+    repeated = _repeats(wanted_last)
     # Pages meet the URLs where they are read; only those that are wanted are spread.
-    captured = spread(pages.join(last, ["url", "page_id"]), judged=pages).select(F.col("url").alias("__url"), carried, *outcome)
-    if _repeats(pages.select("url", "page_id").join(F.broadcast(wanted), "url", "left_semi") if few else pages, last):
-        captured = _one_each(captured, ["__url"], captured.columns[1])
+    captured = spread(pages.join(wanted_last.drop("n"), ["url", "page_id"]), judged=pages)
+    captured = captured.select(F.col("url").alias("__url"), carried, *outcome)
+    captured = _one_each(captured, ["__url"], captured.columns[1], repeated)
     joined = lookup(keyed, captured, ["__url"], profile=urls)
     return _mark_fetch(joined, profile).drop("__url", "fetched", "timed_out")
 
 
-def attach_pages(requests, pages, profile):
-    """Requests with the HTML of their URL; misses become status 500."""
-    return _attach(requests, pages, profile, F.col("html"))
+def attach_pages(requests, pages, profile, index=None):
+    """Requests with the HTML of their URL; misses become status 500.
+
+    Jobs over identifiers run while the plan is built, as ``_attach`` says.
+    """
+    return _attach(requests, pages, profile, F.col("html"), index=index)
 
 
 def extract_blocks(pages, strict_www=False):
@@ -160,13 +185,14 @@ def extract_blocks(pages, strict_www=False):
     )
 
 
-def attach_articles(requests, pages, profile, only_models=None, urls=None):
+def attach_articles(requests, pages, profile, only_models=None, urls=None, index=None):
     """Requests with source and article text, each page fetched and parsed once.
 
     The HTML goes no further than the parser; requests are joined to text.  Pages
     asked for only with models outside ``only_models`` are not parsed, as their
     requests fail whatever the text.  ``urls`` is the profile of the requests' URLs,
-    where it is known already.
+    where it is known already, ``index`` that of the last captures.  Jobs over identifiers run
+    while the plan is built, as ``_attach`` says.
     """
     needs_text = F.coalesce(F.col("model").isin(*only_models), F.lit(False)) if only_models else None
     source = identify_source(F.col("url"), profile.strict_www)
@@ -177,7 +203,7 @@ def attach_articles(requests, pages, profile, only_models=None, urls=None):
 
     element = block_element(source)
     carried = content(F.when(F.col("needs_text"), element))
-    attached = _attach(requests, pages, profile, carried, content(element), needs_text, urls)
+    attached = _attach(requests, pages, profile, carried, content(element), needs_text, urls, index)
     if needs_text is not None:
         # Whatever others asked of the page, and whichever way it came.
         attached = attached.withColumn("content", F.when(needs_text, F.col("content")))

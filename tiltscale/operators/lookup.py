@@ -1,6 +1,6 @@
 """Joins that look rows up by key and stay even when one key holds most rows."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import functions as F
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 # Below this many rows for the hottest key one task copes with it.
 HOT_MIN_ROWS = 100_000
+# Entries of a sketch of frequent keys.
+_TRACKED = 16_384
 # An input of at most this many bytes per core, and in all, is small.
 SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
 SMALL_BYTES = 1024 * 1024 * 1024
@@ -79,6 +81,24 @@ def profile_keys(df, keys):
     return KeyProfile(**{**vars(profile), "hot": tuple(map(tuple, hot))})
 
 
+def sketch_keys(df, keys):
+    """The profile of ``keys`` that salts need, from one pass and a sketch of bounded size.
+
+    For a micro-batch, whose keys would not be worth a shuffle: frequent hashes are tracked
+    within each task and the trackers merged.  A key that holds ``HOT_SHARE`` of the rows is always
+    among those tracked, as an entry may be off by no more than ``3.5 / _TRACKED`` of the rows;
+    counts are close, which is enough to choose salts by.  Numbers of keys stay unknown, as 0.
+    """
+    top = F.expr(f"approx_top_k(h, {int(1 / HOT_SHARE)}, {_TRACKED})")
+    row = df.select(key_hash(keys).alias("h")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("h").alias("keyed"), top.alias("top")
+    ).first()
+    top = [(item["item"], item["count"]) for item in row.top or [] if item["item"] is not None]
+    hottest = max((n for _, n in top), default=0)
+    profile = KeyProfile(row.rows, row.rows - row.keyed, 0, 0, hottest)
+    return replace(profile, hot=tuple((h, n) for h, n in top if n > profile.hot_floor))
+
+
 def broadcast_bytes(spark):
     """Most bytes a side may have to be broadcast: Spark's own setting for it."""
     value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

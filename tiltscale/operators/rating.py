@@ -209,12 +209,12 @@ def with_fallback(rated):
     )
 
 
-def rate_articles(articles, backend, any_model=False):
+def rate_articles(articles, backend, any_model=False, measure=None):
     """``[content, model, url]`` → ``[url, model, result, score]`` for rateable rows.
 
     The whole rating stage of the asynchronous chain; works on batch and
     streaming DataFrames.  The filters stand before the backend because none is
-    pushed through it.
+    pushed through it.  ``measure`` gives the profile of the URLs in another way than a full one.
     """
     accepted = rateable(articles)
     if not any_model:
@@ -225,7 +225,7 @@ def rate_articles(articles, backend, any_model=False):
         "brief",
         streaming_options=True,
         any_model=any_model,
-        measure=lambda: profile_keys(articles, ["url"]),
+        measure=measure or (lambda: profile_keys(articles, ["url"])),
     )
     rated = with_fallback(rated)
     return rated.select("url", "model", "result", parse_score(F.col("result")).alias("score"))

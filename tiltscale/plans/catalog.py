@@ -19,7 +19,7 @@ from tiltscale.plans import requests as plans
 from tiltscale.plans.profiles import ASYNC, LEGACY_ASYNC, LEGACY_SYNC, SYNC
 from tiltscale.session import bound_arrow_batches, shared_folder
 from tiltscale.sources import committed, derived
-from tiltscale.sources.captures import write_captures
+from tiltscale.sources.captures import write_answers, write_captures, write_index
 from tiltscale.sources.messages import publish, read_articles, read_messages, read_messages_batch
 from tiltscale.sources.sinks import append_results, write_once
 from tiltscale.streaming import jobs
@@ -112,8 +112,8 @@ def strict_sources(spark, folder):
     return _web(spark, folder).select("page_id", "url", identify_source(F.col("url"), strict_www=True).alias("source"))
 
 
-def _fetched(spark, folder, pages):
-    fetched = attach_pages(parse_requests(_requests(spark, folder), SYNC), pages, SYNC)
+def _fetched(spark, folder, pages, index=None):
+    fetched = attach_pages(parse_requests(_requests(spark, folder), SYNC), pages, SYNC, index)
     return fetched.select(
         "request_id", "url", "status", "error",
         F.md5("html").alias("html_md5"), F.length("html").cast("long").alias("html_length"),
@@ -137,6 +137,18 @@ def page_fetch_recaptured(spark, folder):
     return _fetched(spark, folder, derived.from_tables(spark, folder, derived.RECAPTURED))
 
 
+@_query
+def page_fetch_indexed(spark, folder):
+    """The same from captures and an index of the last ones, both grown in two goes."""
+    captures = derived.from_tables(spark, folder, derived.RECAPTURED)
+    base, part = _new_folder(spark), F.pmod(F.xxhash64("html"), F.lit(2))
+    for turn in (0, 1):
+        new = captures.where(part == turn)
+        laid = write_captures(new, f"{base}/captures", buckets=16, mode="append")
+        index = write_index(new, f"{base}/index", buckets=16)
+    return _fetched(spark, folder, laid, index)
+
+
 # --- extraction -----------------------------------------------------------------
 
 @_query
@@ -492,6 +504,21 @@ def rating_stream_resumed(spark, folder):
     return messages.decode_results(read_messages_batch(spark, "text", f"{base}/results"))
 
 
+@_query
+def rating_stream_by_bucket(spark, folder):
+    """The same from answers laid out by URL, of which a micro-batch reads its buckets."""
+    base = _new_folder(spark)
+    path = _message_files(spark, _messages(spark, folder), base)
+    answers = write_answers(_responses(spark, folder), f"{base}/answers", buckets=16)
+
+    def to_files(results, number):
+        results.write.mode("overwrite").text(f"{base}/results/batch={number}")
+
+    articles = read_articles(spark, fmt="text", path=path)
+    jobs.answer_job(articles, answers, f"{base}/checkpoint", to_files, jobs.DRAIN).awaitTermination()
+    return messages.decode_results(read_messages_batch(spark, "text", f"{base}/results"))
+
+
 @_query
 def reject_stream(spark, folder):
     base = _new_folder(spark)

@@ -11,24 +11,24 @@ from tiltscale.operators.rating import rate
 from tiltscale.plans.profiles import ASYNC, SYNC
 
 
-def scrape(requests, pages, profile, only_models=None):
+def scrape(requests, pages, profile, only_models=None, index=None):
     """``[request_id, body]`` → requests with status, error, source and content.
 
     Articles to publish and acknowledgements both branch from this: write it to a
     table first (``sinks.write_once``) so that no page is parsed twice.
     """
-    return attach_articles(parse_requests(requests, profile), pages, profile, only_models)
+    return attach_articles(parse_requests(requests, profile), pages, profile, only_models, index=index)
 
 
-def answers(requests, pages, backend, profile=SYNC):
+def answers(requests, pages, backend, profile=SYNC, index=None):
     """One row per request: an answer (status 200) or an error.
 
     Columns ``request_id, status, [source,] result, score, error``; also ``url``
-    and ``model`` for storing.
+    and ``model`` for storing.  Jobs over identifiers run while the plan is built.
     """
     parsed = parse_requests(requests, profile)
     urls = profile_keys(parsed, ["url"])
-    scraped = attach_articles(parsed, pages, profile, KNOWN_MODELS, urls)
+    scraped = attach_articles(parsed, pages, profile, KNOWN_MODELS, urls, index)
     good = F.col("status").isNull()
     rated = rate(scraped, backend, profile.template, when=good, measure=lambda: urls)
     failed = good & F.col("rating_error").isNotNull()

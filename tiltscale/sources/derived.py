@@ -10,6 +10,10 @@ _MARKER = "!$*_&"
 _SCORES = ("-2", "-1.5", "-1", "-0.5", "0", "0.5", "1", "1.5", "2")
 
 
+# The models that pages were rated with; a statement's {each model} gives a row for each.
+_MODELS = "'gpt', 'claude', 'gemini'"
+
+
 def _case(subject, values, default="null"):
     whens = " ".join(f"when {number} then {value}" for number, value in values.items())
     return f"case {subject} {whens} else {default} end"
@@ -104,15 +108,12 @@ select url, model, result from ({ALL_RESPONSES}) once_more where length(result)
 """
 
 # Answers recorded for the pages' requests; every ninth page has none.
-PAGE_RESPONSES = " union all ".join(
-    f"""
-select url, '{model}' as model,
+PAGE_RESPONSES = f"""
+select url, {{each model}} as model,
   'about ' || {_ID} || chr(10) || '{_MARKER}' || {_case("page_id % 9", {i: f"'{s}'" for i, s in enumerate(_SCORES)})}
     || '{_MARKER}' as result
 from ({WEB}) web where page_id % 9 <> 4
 """
-    for model in ("gpt", "claude", "gemini")
-)
 
 NEWS = f"""
 select source || '/' || {_DOC} as Link, left(text, 60) as Title, text as Content, source as Source,
@@ -188,6 +189,7 @@ def for_duckdb(statement):
     for table in _TABLES:
         statement = statement.replace("{" + table + "}", table)
     statement = statement.replace("{quoted text}", "cast(to_json(text) as varchar)")
+    statement = statement.replace("{each model}", f"unnest([{_MODELS}])")
     return f"({statement.strip()})"
 
 
@@ -198,4 +200,4 @@ def from_tables(spark, folder, statement):
     # The member of a JSON object without the object.
     member = "to_json(named_struct('t', text))"
     statement = statement.replace("{quoted text}", f"substring({member}, 6, length({member}) - 6)")
-    return spark.sql(statement)
+    return spark.sql(statement.replace("{each model}", f"explode(array({_MODELS}))"))

@@ -12,10 +12,12 @@ from tiltscale.operators.messages import (
     to_article_messages,
     to_result_messages,
 )
-from tiltscale.operators.rating import rate_articles
+from tiltscale.operators.lookup import sketch_keys
+from tiltscale.operators.rating import is_rateable, rate_articles, recorded
 from tiltscale.operators.tables import to_stored_results
 from tiltscale.plans.profiles import ASYNC
 from tiltscale.plans.requests import accepted_articles, acknowledgements, scrape
+from tiltscale.sources.captures import near
 from tiltscale.sources.committed import commit_batch
 from tiltscale.sources.messages import publish_stream
 from tiltscale.sources.sinks import append_missing
@@ -34,6 +36,27 @@ def rating_job(article_messages, backend, checkpoint, any_model=False, **sink):
     return publish_stream(rated_messages(article_messages, backend, any_model), checkpoint, **sink)
 
 
+def answer_job(article_messages, answers, checkpoint, publish, trigger=None):
+    """Rate the article stream with recorded answers that are laid out by URL.
+
+    For answers too many to join whole with every micro-batch (``sources.captures.write_answers``):
+    only the buckets of the micro-batch's URLs are read, and URLs that hold much of it are
+    spread, as a sketch of its keys says.  ``publish(messages, number)`` gets the number of the
+    micro-batch, so that a repeated one can replace what it published.
+    """
+
+    def rate_batch(batch, number):
+        articles = decode_articles(batch)
+        articles.persist()  # read for its keys first, then for the work
+        try:
+            backend = recorded(near(answers, articles.where(is_rateable())), unique=True)
+            publish(to_result_messages(rate_articles(articles, backend, measure=lambda: sketch_keys(articles, ["url"]))), number)
+        finally:
+            articles.unpersist()
+
+    return _each_batch(article_messages, checkpoint, trigger, rate_batch)
+
+
 def reject_job(article_messages, checkpoint, path, trigger=None):
     """Keep what the rating job leaves out, with the reason."""
     return _to_table(article_rejects(article_messages), checkpoint, path, trigger)
@@ -74,21 +97,22 @@ def jdbc_storage_job(result_messages, checkpoint, trigger=None, **jdbc):
     return _each_batch(to_stored_results(decode_results(result_messages)), checkpoint, trigger, append)
 
 
-def intake_job(requests, pages, checkpoint, folder, publish, profile=ASYNC, trigger=None):
+def intake_job(requests, pages, checkpoint, folder, publish, profile=ASYNC, trigger=None, index=None):
     """Scrape a stream of ``[request_id, body]`` and publish the accepted articles.
 
     Each micro-batch is written once, under its own number, to ``folder``; the
     articles to publish and the acknowledgements both come from that table.
     Acknowledgements end up in ``folder/acknowledgements/batch=<number>``.  A
     repeated batch overwrites both; ``publish(messages, number)`` gets the number
-    so that it can do the same.
+    so that it can do the same.  With an ``index`` of last captures, and captures by URL, a
+    micro-batch reads what its URLs need and no more.
     """
 
     def scrape_batch(batch, batch_id):
         scraped_path = f"{folder}/scraped/batch={batch_id}"
         batch.persist()  # read for its keys first, then for the work
         try:
-            scrape(batch, pages, profile).write.mode("overwrite").parquet(scraped_path)
+            scrape(batch, pages, profile, index=index).write.mode("overwrite").parquet(scraped_path)
         finally:
             batch.unpersist()
         scraped = batch.sparkSession.read.parquet(scraped_path)
