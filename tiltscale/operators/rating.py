@@ -96,6 +96,15 @@ def _usable(answer):
     return answer
 
 
+def asked_safely(client, prompt, options):
+    """``(answer, error)`` of a call, one of them None."""
+    try:
+        return _usable(client(prompt, json.loads(options))), None
+    except Exception as error:
+        text = str(error) or type(error).__name__
+        return None, text.encode(errors="replace").decode()
+
+
 def _called_batches(make_client, calls_in_flight, batches):
     """``(result, rating_error)`` of each ``(prompt, options)``, batch by batch.
 
@@ -104,13 +113,7 @@ def _called_batches(make_client, calls_in_flight, batches):
     client = make_client()
 
     def ask(prompt, options):
-        if prompt is None:
-            return None, None
-        try:
-            return _usable(client(prompt, json.loads(options))), None
-        except Exception as error:
-            text = str(error) or type(error).__name__
-            return None, text.encode(errors="replace").decode()
+        return (None, None) if prompt is None else asked_safely(client, prompt, options)
 
     def gathered(calls):
         results, errors = zip(*[call.result() for call in calls]) if calls else ((), ())

@@ -15,6 +15,7 @@ from tiltscale.operators import messages, rating, tables
 from tiltscale.operators.fetch import attach_pages, extract_blocks
 from tiltscale.operators.intake import parse_requests
 from tiltscale.operators.lookup import spread_small_input
+from tiltscale.operators.settling import called_once
 from tiltscale.plans import requests as plans
 from tiltscale.plans.profiles import ASYNC, LEGACY_ASYNC, LEGACY_SYNC, SYNC
 from tiltscale.session import bound_arrow_batches, shared_folder
@@ -269,6 +270,17 @@ def rate_called(spark, folder):
     return rated.select("doc_id", "result", "rating_error", parse_score(F.col("result")).alias("score"))
 
 
+@_query
+def rate_called_once(spark, folder):
+    """The same with equal prompts asked once, in two runs, of which the second finds half of them answered."""
+    articles = rating.rateable(_articles(spark, folder))
+    store = f"{_new_folder(spark)}/calls"
+    for rows in (articles.where(F.col("doc_id") % 2 == 0), articles):
+        backend = called_once(_local_client, store, parts=8, calls_in_flight=4)
+        rated = rating.with_fallback(rating.rate(rows, backend))
+    return rated.select("doc_id", "result", "rating_error", parse_score(F.col("result")).alias("score"))
+
+
 @_query
 def rate_repeated(spark, folder):
     """Answers that were recorded more than once; the smallest text counts."""
