@@ -32,11 +32,11 @@ _WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 _LATIN = re.compile("[\x00-\u024f]*\\Z")
 # Stretches of at most so many characters are remembered, up to so many bytes in all.
 _SHORT = 48
-_MEMORY = 96 * 1024 * 1024
+_MEMORY = 40 * 1024 * 1024
 # Bytes a remembered stretch takes beside its texts and pairs.
 _OVERHEAD = 300
 # Characters of texts, texts, and new stretches that are worked on at once.
-_CHARACTERS = 2_000_000
+_CHARACTERS = 1_000_000
 _TEXTS = 4096
 _STRETCHES = 20_000
 # Pairs that hold more than this share of all rows are broadcast; there are never more than
