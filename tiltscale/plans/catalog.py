@@ -21,6 +21,7 @@ from tiltscale.plans.profiles import ASYNC, LEGACY_ASYNC, LEGACY_SYNC, SYNC
 from tiltscale.session import bound_arrow_batches, shared_folder
 from tiltscale.sources import committed, derived
 from tiltscale.sources.captures import write_answers, write_captures, write_index
+from tiltscale.sources.key_store import KeyStore, appended_key_violations, appended_reference_violations
 from tiltscale.sources.messages import publish, read_articles, read_messages, read_messages_batch
 from tiltscale.sources.sinks import append_results, write_once
 from tiltscale.streaming import jobs
@@ -474,6 +475,43 @@ def fk_orphans(spark, folder):
     return tables.orphans(response, "Link", news, "Link")
 
 
+def _in_batches(df, key, n=4):
+    """Disjoint parts of a table, as they might have come in; rows without a key in the first."""
+    part = F.coalesce(F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(n)), F.lit(0))
+    return df.withColumn("__part", part), [F.col("__part") == i for i in range(n)]
+
+
+@_query
+def pk_violations_appended(spark, folder):
+    """The same found batch by batch, old keys being read only where a filter hits."""
+    base = _new_folder(spark)
+    news, parts = _in_batches(derived.from_tables(spark, folder, derived.NEWS).select("Link"), "Link")
+    news = write_once(news, f"{base}/news")
+    store = KeyStore(spark, f"{base}/links", ["Link"], buckets=8, blocks=64)
+    for number, part in enumerate(parts):
+        batch = news.where(part)
+        appended_key_violations(batch, store).write.parquet(f"{base}/violations/batch={number}")
+        store.add(batch)
+    found = spark.read.schema("Link string, n_rows long").parquet(f"{base}/violations")
+    counts = F.when(F.col("Link").isNull(), F.sum("n_rows")).otherwise(F.max("n_rows"))
+    return found.groupBy("Link").agg(counts.alias("n_rows"))
+
+
+@_query
+def fk_violations_appended(spark, folder):
+    """The same against a store of the parents' keys, which came in batches."""
+    base = _new_folder(spark)
+    store = KeyStore(spark, f"{base}/links", ["Link"], buckets=8, blocks=64)
+    news, parts = _in_batches(derived.from_tables(spark, folder, derived.SOME_NEWS), "Link", 2)
+    news = write_once(news, f"{base}/news")
+    for part in parts:
+        store.add(news.where(part))
+    response, parts = _in_batches(derived.from_tables(spark, folder, derived.RESPONSE).select("Link"), "Link", 2)
+    response = write_once(response, f"{base}/response")
+    found = [appended_reference_violations(response.where(part), "Link", store) for part in parts]
+    return found[0].unionByName(found[1]).groupBy("Link").agg(F.sum("n_rows").alias("n_rows"))
+
+
 # --- streams --------------------------------------------------------------------
 
 def _message_files(spark, df, base):
