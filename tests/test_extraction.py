@@ -1,9 +1,14 @@
+import os
+import subprocess
+import sys
+import textwrap
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tiltscale.functions.html_blocks import block_texts, select_blocks
+from tiltscale.functions.html_blocks import block_rows, block_texts, select_blocks
 from tiltscale.functions.source import block_class, block_element, identify_source
 from tiltscale.functions.text import article_text, is_blank, strip
 
@@ -153,3 +158,51 @@ def test_output_far_larger_than_its_pages(spark, monkeypatch):
     for row in found:
         wanted = None if row.id % 5 == 0 else ["ab" * (row.id - i) + str(row.id) for i in range(row.id)]
         assert row.blocks == wanted
+
+
+def test_block_rows_equal_exploded_blocks(spark):
+    texts = [page for page, _ in PARAGRAPHS] + [None, "<![x", "plain"]
+    pages = spark.createDataFrame([(i, t, [i, None]) for i, t in enumerate(texts)], "id int, html string, more array<int>").repartition(4)
+    rows = block_rows(pages, F.col("html"), F.lit("p"), keep=["id", "more"])
+    assert rows.columns == ["id", "more", "block_no", "block_text"]
+    lists = pages.select("id", "more", select_blocks(F.col("html"), F.lit("p")).alias("blocks"))
+    wanted = lists.select("id", "more", F.posexplode("blocks").alias("block_no", "block_text"))
+    assert sorted(rows.collect()) == sorted(wanted.collect())
+    assert block_rows(pages.where("id < 0"), F.col("html"), F.lit("p")).collect() == []
+    assert block_rows(pages, F.col("html"), F.lit(None)).collect() == []
+    with pytest.raises(ValueError, match="block_no"):
+        block_rows(pages.withColumnRenamed("id", "Block_No"), F.col("html"), F.lit("p"))
+
+
+def test_block_rows_in_several_batches_of_one_page(spark, monkeypatch):
+    monkeypatch.setattr("tiltscale.functions.html_blocks._BATCH_CHARACTERS", 5_000)
+    pages = spark.range(3).select("id", F.expr("repeat('<p>ab', cast(400 * id as int))").alias("html"))
+    found = block_rows(pages, F.col("html"), F.lit("p"), keep=["id"])
+    rows = sorted(found.collect())
+    assert [(r.id, r.block_no) for r in rows] == [(i, n) for i in (1, 2) for n in range(400 * i)]
+    assert all(r.block_text == "ab" * (400 * r.id - r.block_no) for r in rows)
+
+
+def test_a_page_of_unclosed_paragraphs_under_a_memory_limit():
+    """2.4 GB of nested block texts pass through a process that may hold half of them."""
+    code = """
+        import resource
+        import pyarrow as pa
+        from tiltscale.functions.html_blocks import _rows_of_batches
+        n = 20_000
+        page = pa.record_batch({"id": [7], "page": ["<p>twelve chars" * n], "element": ["p"], "class": pa.array([None], pa.string())})
+        resource.setrlimit(resource.RLIMIT_AS, (1_200_000_000, 1_200_000_000))
+        rows = length = most = 0
+        for batch in _rows_of_batches(iter([page])):
+            assert batch.column("block_no").to_pylist() == list(range(rows, rows + len(batch)))
+            rows += len(batch)
+            most = max(most, batch.nbytes)
+            length += sum(len(t.as_py()) for t in batch.column("block_text"))
+        assert (rows, length) == (n, 12 * n * (n + 1) // 2), (rows, length)
+        assert most < 40_000_000
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # Memory pools of threads reserve addresses; the plain allocator takes what it needs.
+    env = {**os.environ, "PYTHONPATH": root, "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1"}
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -6,11 +6,16 @@ all inside it, an end tag without one only ends the text run, and void elements
 close at once.  Each text run is stripped by itself and runs are joined without
 a separator.  Spark has no expression for this, so it is an Arrow function; it
 keeps the columns around it, and with them the partitioning by URL.
+
+Unclosed paragraphs nest, so the texts of one page may add up to the square of its
+size.  ``select_blocks`` holds them as one value; ``block_rows`` makes rows of them,
+a bounded batch at a time.
 """
 
 import html.entities
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -126,12 +131,16 @@ class _BlockParser(HTMLParser):
                 self.runs.append(run)
 
     def texts(self):
+        """One text after the other, as parts of the text of all runs, which is held once."""
         self.end_run()
-        return ["".join(self.runs[first:end]) for first, end in self.spans]
+        whole = "".join(self.runs)
+        starts = [0, *accumulate(map(len, self.runs))]
+        for first, end in self.spans:
+            yield whole[starts[first] : starts[len(self.runs) if end is None else end]]
 
 
-def block_texts(page, element, class_token=None):
-    """Block texts of one page in document order; None where it cannot be parsed."""
+def iterate_blocks(page, element, class_token=None):
+    """Iterator over the block texts of one page in document order; None where it cannot be parsed."""
     parser = _BlockParser(element, class_token)
     try:
         parser.feed(page)
@@ -141,6 +150,12 @@ def block_texts(page, element, class_token=None):
     return parser.texts()
 
 
+def block_texts(page, element, class_token=None):
+    """The same as a list."""
+    texts = iterate_blocks(page, element, class_token)
+    return None if texts is None else list(texts)
+
+
 # Characters of block text after which an output batch is closed.  Unclosed
 # paragraphs repeat the text in them, so output can be far larger than its page.
 _BATCH_CHARACTERS = 16 * 1024 * 1024
@@ -171,3 +186,52 @@ def select_blocks(page, element, class_token=None):
     """``array<string>`` of block texts; null for a null page or element."""
     no_class = F.lit(None).cast("string")
     return _select_blocks(page, element, no_class if class_token is None else class_token)
+
+
+def _rows_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = batch.select(range(batch.num_columns - 3))
+        owners, numbers, texts, size = [], [], [], 0
+
+        def closed(kept=kept):
+            columns = [pa.array(numbers, pa.int32()), pa.array(texts, pa.string())]
+            taken = kept.take(pa.array(owners, pa.int64())).columns
+            return pa.RecordBatch.from_arrays([*taken, *columns], [*kept.schema.names, *BLOCK_COLUMNS])
+
+        for owner, (page, element, class_token) in enumerate(zip(*batch.columns[-3:])):
+            if not (page.is_valid and element.is_valid):
+                continue
+            for number, text in enumerate(iterate_blocks(page.as_py(), element.as_py(), class_token.as_py()) or ()):
+                owners.append(owner)
+                numbers.append(number)
+                texts.append(text)
+                size += len(text) + _ROW_CHARACTERS
+                if size > _BATCH_CHARACTERS:
+                    yield closed()
+                    owners, numbers, texts, size = [], [], [], 0
+        yield closed()
+
+
+# Columns of a block's row, and what a row counts for beside its text when a batch is closed.
+BLOCK_COLUMNS = ("block_no", "block_text")
+_ROW_CHARACTERS = 64
+
+
+def block_rows(pages, page, element, class_token=None, keep=None):
+    """One row per block: the columns ``keep``, ``block_no`` (from 0) and ``block_text``.
+
+    ``page``, ``element`` and ``class_token`` are columns of ``pages``; ``keep`` names the
+    columns that go with each block, all by default.  Pages without a block, and null or
+    unreadable ones, have no row.  A worker holds one page, its text and one batch of
+    rows, however often texts repeat within each other.  Kept columns that are named like
+    those of a block are refused.
+    """
+    names = pages.columns if keep is None else list(keep)
+    clashing = {c.lower() for c in names} & set(BLOCK_COLUMNS)
+    if clashing:
+        raise ValueError(f"columns named like those of a block: {sorted(clashing)}")
+    no_class = F.lit(None).cast("string")
+    asked = [page, element, no_class if class_token is None else class_token]
+    given = pages.select(*[pages[c] for c in names], *[c.cast("string").alias(f"__{i}") for i, c in enumerate(asked)])
+    block = T.StructType([T.StructField("block_no", T.IntegerType()), T.StructField("block_text", T.StringType())])
+    return given.mapInArrow(_rows_of_batches, T.StructType([*pages.select(*[pages[c] for c in names]).schema, *block]))

@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tiltscale.fixed_values import INTERNAL_ERROR, NO_CONTENT, TIMED_OUT
-from tiltscale.functions.html_blocks import select_blocks
+from tiltscale.functions.html_blocks import block_rows, select_blocks
 from tiltscale.functions.source import block_class, block_element, identify_source
 from tiltscale.functions.text import article_text, is_blank
 from tiltscale.operators.lookup import broadcast_bytes, key_hash, lookup, profile_keys, spread_small_input
@@ -185,6 +185,13 @@ def extract_blocks(pages, strict_www=False):
     )
 
 
+def explode_blocks(pages, strict_www=False):
+    """``[page_id, url, html]`` → a row per block without HTML: the other columns, source, ``block_no``, ``block_text``."""
+    sourced = spread_small_input(pages).withColumn("source", identify_source(F.col("url"), strict_www))
+    kept = [c for c in sourced.columns if c != "html"]
+    return block_rows(sourced, F.col("html"), block_element(F.col("source")), block_class(F.col("source")), kept)
+
+
 def attach_articles(requests, pages, profile, only_models=None, urls=None, index=None):
     """Requests with source and article text, each page fetched and parsed once.
 

@@ -6,13 +6,13 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tiltscale import schemas
-from tiltscale.functions.html_blocks import select_blocks
+from tiltscale.functions.html_blocks import block_rows
 from tiltscale.functions.prompts import build_prompt, model_options
 from tiltscale.functions.score import clean_result, parse_score
 from tiltscale.functions.source import identify_source
 from tiltscale.functions.text import article_text, is_blank
 from tiltscale.operators import messages, rating, tables
-from tiltscale.operators.fetch import attach_pages, extract_blocks
+from tiltscale.operators.fetch import attach_pages, explode_blocks, extract_blocks
 from tiltscale.operators.intake import parse_requests
 from tiltscale.operators.lookup import spread_small_input
 from tiltscale.operators.settling import called_once
@@ -156,15 +156,13 @@ def page_fetch_indexed(spark, folder):
 @_query
 def blocks_p(spark, folder):
     pages = spread_small_input(_table(spark, folder, "pages").select("page_id", "html"))
-    blocks = pages.select("page_id", select_blocks(F.col("html"), F.lit("p")).alias("blocks"))
-    return blocks.select("page_id", F.posexplode("blocks").alias("block_no", "block_text"))
+    return block_rows(pages, F.col("html"), F.lit("p"), keep=["page_id"])
 
 
 @_query
 def blocks_div(spark, folder):
     """Blocks by source: class selectors where the publisher has one."""
-    blocks = extract_blocks(_web(spark, folder))
-    return blocks.select("page_id", "source", F.posexplode("blocks").alias("block_no", "block_text"))
+    return explode_blocks(_web(spark, folder)).drop("url")
 
 
 @_query
