@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from llm_brute import base_spans
 
@@ -84,6 +85,94 @@ def test_a_context_half_unseen_is_trusted_and_a_mixed_one_is_not(spark):
     assert got[400] == ""
 
 
+def _spans_of(spark, lines):
+    rows = list(enumerate(lines))
+    return [r.spans for r in sorted(pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())]
+
+
+def test_a_few_seeds_do_not_vouch_for_thousands(spark):
+    """Order numbers beside a word that also stood before five phones stay, whatever their layout."""
+    phones = [f"order +1 (743) 555-{1000 + i} a{i}" for i in range(5)]
+    for numbers in ([f"{7000000 + 13 * i}" for i in range(3000)], [f"743-555-{4000 + i}" for i in range(3000)]):
+        got = _spans_of(spark, phones + [f"order {n} b{i}" for i, n in enumerate(numbers)])
+        assert got[:5] == ["phone:6:23"] * 5 and not any(got[5:])
+
+
+def test_only_layouts_of_the_seeds_are_found(spark):
+    seeds = [f"order +1 (743) 555-{1000 + i} a{i}" for i in range(30)] + [f"wire +17435551{100 + i} a{i}" for i in range(30)]
+    more = ["order 743-555-9999 c", "order 7435559997 c", "order 12345678 c", "wire 7435559999 c", "wire 743-555-9998 c", "wire 1234567 c"]
+    assert _spans_of(spark, seeds + more)[60:] == ["phone:6:18", "", "", "phone:5:15", "", ""]
+
+
+def _plain_bootstrap(pairs, rounds=pii.ROUNDS):
+    """The bootstrap over ``(word, value, kind of a seed or None, kinds it fits, layouts by kind)``, in sets."""
+    found = {}
+    for _ in range(rounds):
+        doubt = {}
+        for word in {p[0] for p in pairs}:
+            own = [p for p in pairs if p[0] == word]
+            for kind in pii.KINDS:
+                fits = [p for p in own if (p[2] == kind if p[2] else kind in p[3])]
+                for layout in {x for p in fits for x in p[4][kind]}:
+                    alike = [p for p in fits if layout in p[4][kind]]
+                    seeds = sum(p[2] is not None for p in alike)
+                    gained = [found[p[1], kind] for p in alike if p[2] is None and (p[1], kind) in found]
+                    known = seeds + len(gained)
+                    if known < 5 or 3 * known < len(alike):
+                        continue
+                    trust = min(0.999, (seeds + sum(gained)) / (known + len(own) - len(fits)))
+                    if trust >= 0.8:
+                        for p in alike:
+                            if p[2] is None:
+                                doubt[p[1], kind] = doubt.get((p[1], kind), 1.0) * (1 - trust)
+        found = {key: 1 - d for key, d in doubt.items() if 1 - d >= 0.9}
+    best = {}
+    for (value, kind), score in found.items():
+        best[value] = max(best.get(value, (0, "")), (round(score, 9), kind))
+    return best
+
+
+def test_bootstrap_equals_a_plain_one(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    occurrences = []
+    for i in range(900):
+        tail = f"{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"
+        value = rng.choice([f"+1 (743) {tail}", f"+1 (743) {tail}", f"743-{tail}", f"7{i:06d}", f"a{i}@b.org", f"a{i}@host", f"10.0.{i % 250}.{i % 7}", f"999.0.0.{i}"])
+        at = rng.randrange(11)
+        # Words lean to one form, so that some are trusted and some are mixed.
+        if rng.random() < 0.9:
+            value = [f"+1 (743) {tail}", f"743-{tail}", f"a{i}@b.org", f"a{i}@host"][at % 2 * 2 + (rng.random() < 0.4)]
+        occurrences.append((value, words[at], words[at + rng.randrange(2)]))
+    df = spark.createDataFrame(occurrences, "value string, left string, right string")
+    got = {r.value: (round(r.score, 9), r.kind) for r in pii.bootstrap(df).collect()}
+    kinds = list(pii.KINDS)
+    pairs = set()
+    for value, left, right in occurrences:
+        spans = base_spans(value)
+        seed = min((s[1], s[3]) for s in spans)[1] if spans else None
+        digits = re.sub("[^0-9]", "", value)
+        shapes = []
+        if re.fullmatch(r"[^\s@]+@[^\s@]*[a-z][^\s@]*", value):
+            shapes.append("email")
+        if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", value) and 4 <= len(digits) <= 12:
+            shapes.append("ip")
+        if re.fullmatch(r"[0-9][0-9 -]+", value) and 12 <= len(digits) <= 19:
+            shapes.append("card")
+        if re.fullmatch(r"[0-9][0-9 ().-]+", value) and 7 <= len(digits) <= 15:
+            shapes.append("phone")
+        groups = " ".join("d" * len(g) for g in re.findall("[0-9]+", value))
+        tails = [groups]
+        for _ in range(3 if seed == "phone" else 0):
+            tails.append(tails[-1][1:].strip())
+        layouts = {k: ("",) if k in ("email", "ip") else tuple(tails if k == "phone" else [groups]) for k in kinds}
+        for side, word in (("left", left), ("right", right)):
+            pairs.add((f"{side} {word}", value, seed, tuple(shapes), tuple(layouts.items())))
+    plain = _plain_bootstrap([(*p[:4], dict(p[4])) for p in pairs])
+    assert got == plain
+    assert len(plain) > 50 and {k for _, k in plain.values()} >= {"phone", "email"}
+
+
 def test_scattered_contexts_lead_nowhere(spark, documents, texts):
     added = [r for r in pii.report(documents).collect() if r.spans != _listed(base_spans(texts[r.doc_id]))]
     assert len(added) <= 0.01 * len(texts)

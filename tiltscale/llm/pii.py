@@ -47,6 +47,10 @@ ROUNDS = 3
 # A pattern is trusted from this share of trusted instances on, and from so many of them.
 PATTERN_SHARE = 0.8
 PATTERN_SUPPORT = 5
+# So many of the strings of one layout beside a pattern have to be known, for it to vouch for the rest.
+KNOWN_SHARE = 1 / 3
+# Digits of a country code, which unseen telephone numbers may lack.
+_COUNTRY_DIGITS = 3
 # An instance is trusted from this score on.
 INSTANCE_SCORE = 0.9
 
@@ -199,15 +203,41 @@ def _shape_kinds(value):
     )
 
 
-def bootstrap(occurrences, rounds=ROUNDS, share=PATTERN_SHARE, support=PATTERN_SUPPORT, least=INSTANCE_SCORE):
+def _layout(value):
+    """Digits of a string in their groups, as in ``ddd ddd dddd``."""
+    return F.regexp_replace(F.trim(F.regexp_replace(value, "[^0-9]+", " ")), "[0-9]", "d")
+
+
+def _layouts(value, kind, seed):
+    """Layouts of a kind a string stands for: a seed also for those without its country code.
+
+    Addresses of mail and machines have no layout but their shape.
+    """
+    one = _layout(value)
+    tails = [one]
+    for _ in range(_COUNTRY_DIGITS):
+        tails.append(F.ltrim(F.substring(tails[-1], 2, 99)))
+    return (
+        F.when(kind.isin("email", "ip"), F.array(F.lit("")))
+        .when(seed.isNotNull() & (kind == "phone"), F.array_distinct(F.array(*tails)))
+        .otherwise(F.array(one))
+    )
+
+
+def bootstrap(
+    occurrences, rounds=ROUNDS, share=PATTERN_SHARE, support=PATTERN_SUPPORT, least=INSTANCE_SCORE, known_share=KNOWN_SHARE
+):
     """``[value, kind, score]``: strings that no base pattern knows and their contexts vouch for.
 
     The graph has an edge for each pattern (the word on the left, or on the right) and
     distinct string beside it, so copies of a text count once.  Every round, a pattern's
     trust for a kind is the scores of its instances (seeds, and what was found before) over
     the number of strings that can be judged: an unseen string of the kind's shape that is not
-    found yet speaks neither for nor against.  An instance's score is what is left when each
-    of its trusted patterns has had its doubt.
+    found yet speaks neither for nor against.  A pattern vouches for strings of one layout of
+    digits at a time, and only where ``support`` strings of that layout, and a ``known_share``
+    of all of them beside it, are seeds or found: a few telephone numbers say nothing about
+    thousands of others in their place, and nothing about numbers that are grouped otherwise.
+    An instance's score is what is left when each of its trusted patterns has had its doubt.
     """
     values = occurrences.select("value", "left", "right")
     sides = F.explode(F.array(
@@ -223,25 +253,30 @@ def bootstrap(occurrences, rounds=ROUNDS, share=PATTERN_SHARE, support=PATTERN_S
     # Strings beside a pattern by what they say of a kind: seeds, those that fit, and the others.
     fits = F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(F.col("shapes"))
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    counts = edges.select("pattern", "seed", F.explode(fits).alias("kind")).groupBy("pattern", "kind").agg(
-        F.count("seed").alias("seeds"), F.count(F.lit(1)).alias("fits")
-    )
-    counts = counts.where(F.col("fits") >= support).join(sizes, "pattern")
-    counts = written(counts.select("pattern", "kind", "seeds", (F.col("n") - F.col("fits")).alias("others")), "counts")
-    unseen = edges.where(F.col("seed").isNull()).select("pattern", "value", F.explode("shapes").alias("kind"))
+    fitting = edges.select("pattern", "value", "seed", F.explode(fits).alias("kind"))
+    others = fitting.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("fits")).where(F.col("fits") >= support)
+    others = others.join(sizes, "pattern").select("pattern", "kind", (F.col("n") - F.col("fits")).alias("others"))
+    keys = ["pattern", "kind", "layout"]
+    laid = fitting.select("pattern", "kind", "value", "seed", F.explode(_layouts(value, F.col("kind"), F.col("seed"))).alias("layout"))
+    counts = laid.groupBy(*keys).agg(F.count("seed").alias("seeds"), F.count(F.lit(1)).alias("alike"))
+    # Where nothing is unseen there is nothing to find.
+    counts = counts.where((F.col("alike") >= support) & (F.col("alike") > F.col("seeds")))
+    counts = written(counts.join(others, ["pattern", "kind"]), "counts")
+    unseen = laid.where(F.col("seed").isNull()).select(*keys, "value")
     found = None
     for _ in range(rounds):
         trust = counts.withColumns({"hits": F.lit(0), "gained": F.lit(0.0)})
         if found is not None:
-            more = unseen.join(found, ["value", "kind"]).groupBy("pattern", "kind")
+            more = unseen.join(found, ["value", "kind"]).groupBy(*keys)
             more = more.agg(F.count(F.lit(1)).alias("hits"), F.sum("score").alias("gained"))
-            trust = counts.join(more, ["pattern", "kind"], "left").fillna(0, ["hits", "gained"])
+            trust = counts.join(more, keys, "left").fillna(0, ["hits", "gained"])
         known = F.col("seeds") + F.col("hits")
         share_of = (F.col("seeds") + F.col("gained")) / (known + F.col("others"))
-        trusted = trust.where(known >= support).withColumn("trust", F.least(share_of, F.lit(0.999)))
-        trusted = trusted.where(F.col("trust") >= share).select("pattern", "kind", "trust")
+        enough = (known >= support) & (known >= known_share * F.col("alike"))
+        trusted = trust.where(enough).withColumn("trust", F.least(share_of, F.lit(0.999)))
+        trusted = trusted.where(F.col("trust") >= share).select(*keys, "trust")
         doubt = F.exp(F.sum(F.log(1 - F.col("trust"))))
-        scores = unseen.join(trusted, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - doubt).alias("score"))
+        scores = unseen.join(trusted, keys).groupBy("value", "kind").agg((1 - doubt).alias("score"))
         found = written(scores.where(F.col("score") >= least), "found")
     # A string that two kinds vouch for is of the one that does so more.
     best = found.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("x"))
