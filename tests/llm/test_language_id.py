@@ -65,3 +65,18 @@ def test_nothing_learned_is_und(spark, no_documents, odd_documents, with_rows):
     model = L.fit(no_documents)
     rows = L.identify((odd_documents if with_rows else no_documents).select("doc_id", "text"), model).collect()
     assert {r.lang_pred for r in rows} <= {"und"}
+
+
+def test_memory_is_bounded_in_characters():
+    model = L.Model({"en": ["some plain words of a text"], "fr": ["quelques mots d un texte"]})
+    parser, judged = L.Parser(model), []
+    texts = ["".join(chr(0x4E00 + (i * 7919 + j) % 20_000) for j in range(20_000)) for i in range(40)]
+    plain = [L.Parser(model).judge_all([t])[0] for t in texts[:3]]
+    L._MEMORY_CHARACTERS, before = 100_000, L._MEMORY_CHARACTERS
+    try:
+        for text in texts:
+            judged += parser.judge_all([text])
+            assert parser.held <= 100_000 + len(text) and sum(map(len, parser)) == parser.held
+    finally:
+        L._MEMORY_CHARACTERS = before
+    assert judged[:3] == plain

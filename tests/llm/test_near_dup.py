@@ -71,7 +71,7 @@ def test_residue_finds_every_link_across_blocks(spark, monkeypatch):
     classes = spark.createDataFrame(rows, "cid long, postings array<long>")
     lists = spark.createDataFrame([(token, i) for i in range(len(sets))], "token long, cid long")
     comps = spark.createDataFrame([], "cid long, comp long")
-    raw = [(i, bytearray(np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())) for i, s in enumerate(sets)]
+    raw = [(i, bytearray(s.tobytes())) for i, s in enumerate(sets)]
     full = spark.createDataFrame(raw, "cid long, own binary")
     links = N._list_residue(lists, comps, classes, full, 80).collect()
     parent = list(range(len(sets)))
@@ -131,3 +131,13 @@ def test_near_copies_without_an_id_are_linked(spark):
     assert sorted(map(str, rows)) == sorted(map(str, [(7, 7), (None, 7), (9, 9), (None, None), (None, None)]))
     kept = [(r.doc_id, r.text) for r in N.without_duplicates(docs).collect()]
     assert len(kept) == 3 and {(7, texts[0]), (9, texts[2])} <= set(kept)
+
+
+def test_words_remembered_are_short_and_counted(monkeypatch):
+    words = N._WordHashes()
+    for i in range(300):
+        N.shingle_set("x" * 20_000 + str(i), 4, words)
+    assert not words
+    monkeypatch.setattr(N, "_MEMORY", 100)
+    text = " ".join(f"w{i}" for i in range(1_000))
+    assert (N.shingle_set(text, 4, words) == N.shingle_set(text, 4)).all() and len(words) <= 100

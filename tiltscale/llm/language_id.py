@@ -28,7 +28,8 @@ MOST_PHRASES = 0.8
 
 # Groups of input partitions whose samples are merged first.
 _SLICES = 1024
-_MEMORY = 400_000
+# Words a worker remembers, and their characters, beyond which it starts anew.
+_MEMORY, _MEMORY_CHARACTERS = 400_000, 16_000_000
 # Characters of texts whose new words are parsed together; longer words go one by one.
 _TOGETHER, _LONG = 1_000_000, 64
 # Cells of all automata together, up to which they are dense tables.
@@ -138,6 +139,7 @@ class Parser(dict):
 
     def forget(self):
         self.clear()
+        self.held = 0
         self.counts = np.zeros((1024, len(self.model.languages) + 1), np.int64)
 
     def _side_by_side(self, words):
@@ -180,10 +182,11 @@ class Parser(dict):
                 own[:-1] += phrases[word]
                 own[-1] += len(word)
             self[chunk] = at
+            self.held += len(chunk)
 
     def judge_all(self, texts):
         """``(language, score, phrases per letter)`` of each of some whole texts."""
-        if len(self) > _MEMORY:
+        if len(self) > _MEMORY or self.held > _MEMORY_CHARACTERS:
             self.forget()
         parts = [t.split() if t else [] for t in texts]
         if self.model.languages:

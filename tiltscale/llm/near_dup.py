@@ -38,7 +38,8 @@ BLOCK = 1_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_MEMORY = 400_000
+# Words a worker remembers, of so many bytes each at most.
+_MEMORY, _LONG = 400_000, 64
 
 
 def _mixed(x):
@@ -52,7 +53,11 @@ class _WordHashes(dict):
     def __missing__(self, word):
         from xxhash import xxh3_64_intdigest
 
-        self[word] = value = xxh3_64_intdigest(word)
+        value = xxh3_64_intdigest(word)
+        if len(word) <= _LONG:
+            if len(self) >= _MEMORY:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -95,12 +100,6 @@ def signature(hashes):
 _words = _WordHashes()
 
 
-def _worker_words():
-    if len(_words) > _MEMORY:
-        _words.clear()
-    return _words
-
-
 def _set_id(hashes):
     from xxhash import xxh3_128_digest
 
@@ -118,7 +117,7 @@ def sets_of(docs, k, key="doc_id", text="text"):
         for batch in batches:
             rows = []
             for doc, text_hash, words in zip(*batch.columns):
-                own = shingle_set(words.as_py(), k, _worker_words())
+                own = shingle_set(words.as_py(), k, _words)
                 full = len(own) > 0
                 rows.append((doc.as_py(), text_hash.as_py(), len(own), _set_id(own) if full else None, signature(own) if full else None))
             columns = list(zip(*rows)) or [[]] * 5
@@ -163,8 +162,8 @@ def _confirmed(pairs, sets, percent):
         for batch in batches:
             keep = []
             for p, q in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), "V6") for s in (p, q))
-                common = len(np.intersect1d(_padded(x), _padded(y), assume_unique=True))
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (p, q))
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"]
@@ -176,13 +175,6 @@ def _confirmed(pairs, sets, percent):
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _padded(x):
-    """48-bit hashes as 64-bit integers."""
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, :6] = x.view(np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def components(links, most_rounds=100):
     """``[cid, comp]`` of the classes in ``links``: the least class each can reach.
 
@@ -240,7 +232,7 @@ def _list_residue(long_lists, comps, classes, sets, percent):
         own, cid, comp = (df[c].to_numpy().copy() for c in ("own", "cid", "comp"))
         post = np.stack(df["postings"].to_numpy())
         prefix = np.stack([np.isin(p, f) for p, f in zip(post, df["first"])])
-        full = [_padded(np.frombuffer(h, "V6")) for h in df["hashes"]]
+        full = [np.frombuffer(h, np.uint64) for h in df["hashes"]]
         sizes = np.array([len(f) for f in full])
         # Hashes by bucket: two sets have no more in common than the lesser counts add up to.
         buckets = min(4096, 1 << int(2 * sizes.max()).bit_length())
@@ -277,11 +269,11 @@ def _class_sets(docs, wanted, k, key, text):
         for batch in batches:
             cids, sets = [], []
             for cid, set_id, words in zip(batch.column(0), batch.column(1), batch.column(2)):
-                own = shingle_set(words.as_py(), k, _worker_words())
+                own = shingle_set(words.as_py(), k, _words)
                 # Another text may have the same hash.
                 if len(own) and _set_id(own) == set_id.as_py():
                     cids.append(cid.as_py())
-                    sets.append(np.unique(own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                    sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "own"])
 
     same = slim["doc_id"].eqNullSafe(wanted["source.doc_id"]) & (slim["text_hash"] == wanted["source.text_hash"])

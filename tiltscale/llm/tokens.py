@@ -2,7 +2,7 @@
 
 The word tokenizer this package uses drops white space and never merges across it,
 so the ids of a text are those of its words in a row.  Each Python worker remembers
-the ids of words it has met; the memory is bounded and changes no result.
+the ids of short words it has met; the memory is bounded in bytes and changes no result.
 """
 
 import json
@@ -12,7 +12,11 @@ import numpy as np
 
 # Letters whose lower case and composition are one character to one, then ASCII marks.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z")
-_MEMORY = 400_000
+# Words of more letters are not remembered; the memory of words starts anew beyond so many bytes.
+_LONG = 64
+_MEMORY_BYTES = 96 * 1024 * 1024
+# What a word takes beside its letters and ids.
+_ENTRY_BYTES = 240
 
 
 def default_path():
@@ -41,7 +45,19 @@ class WordIds(dict):
         # Only this kind drops white space and ends words; others get whole texts.
         self.by_word = spec["model"].get("end_of_word_suffix") == "</w>"
         self.letters = _byte_letters()
-        self.runs = {}
+        self.forget()
+
+    def forget(self):
+        self.clear()
+        self.runs, self.held = {}, 0
+
+    def _note(self, known, word, ids):
+        """Remember a short word."""
+        if len(word) <= _LONG:
+            if self.held > _MEMORY_BYTES:
+                self.forget()
+            known[word] = ids
+            self.held += _ENTRY_BYTES + 4 * len(word) + len(ids)
 
     def encode(self, text):
         """Ids by the tokenizer itself."""
@@ -53,7 +69,7 @@ class WordIds(dict):
         if ids is None:
             word = run.encode().decode("latin-1").translate(self.letters)
             ids = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
-            self.runs[run] = ids
+            self._note(self.runs, run, ids)
         return ids
 
     def __missing__(self, word):
@@ -64,7 +80,7 @@ class WordIds(dict):
             ids = self._run(plain[1].lower()) + self[plain[2]]
         else:
             ids = self._run(word.lower())
-        self[word] = ids
+        self._note(self, word, ids)
         return ids
 
     def ids(self, text):
@@ -73,10 +89,6 @@ class WordIds(dict):
             return b""
         if not self.by_word:
             return self.encode(text)
-        if len(self) > _MEMORY:
-            self.clear()
-        if len(self.runs) > _MEMORY:
-            self.runs.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
