@@ -262,7 +262,8 @@ def bootstrap(
     # Where nothing is unseen there is nothing to find.
     counts = counts.where((F.col("alike") >= support) & (F.col("alike") > F.col("seeds")))
     counts = written(counts.join(others, ["pattern", "kind"]), "counts")
-    unseen = laid.where(F.col("seed").isNull()).select(*keys, "value")
+    # Only what stands beside a pattern that may come to be trusted is met again, round by round.
+    unseen = written(laid.where(F.col("seed").isNull()).join(counts.select(*keys), keys, "left_semi").select(*keys, "value"), "unseen")
     found = None
     for _ in range(rounds):
         trust = counts.withColumns({"hits": F.lit(0), "gained": F.lit(0.0)})
