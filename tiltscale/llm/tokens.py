@@ -14,7 +14,7 @@ import numpy as np
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z")
 # Words of more letters are not remembered; the memory of words starts anew beyond so many bytes.
 _LONG = 64
-_MEMORY_BYTES = 96 * 1024 * 1024
+_MEMORY_BYTES = 224 * 1024 * 1024
 # What a word takes beside its letters and ids.
 _ENTRY_BYTES = 240
 
